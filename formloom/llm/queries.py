@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.catalog import table
-from formloom.llm import dedup, entries, tokenizer
+from formloom.llm import dedup, entries, leak, tokenizer
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -29,5 +29,10 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item."""
+    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+QUERIES = {"p8_found": p8_found, "p3_found": p3_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}

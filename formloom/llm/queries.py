@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.catalog import table
-from formloom.llm import dedup, entries, leak, tokenizer
+from formloom.llm import dedup, entries, leak, quality, tokenizer
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -34,5 +34,25 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p3_found": p3_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that are no natural prose, with their kind."""
+    return quality.not_prose(table(spark, root, "documents"))
+
+
+def p9_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality statistics of every document with what makes it an outlier."""
+    df = quality.quality(table(spark, root, "documents"))
+    return df.withColumn("contributions", F.array_join(F.transform("contributions", lambda v: F.format_number(v, 3)), ";"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_copies": p6_copies,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_quality": p9_quality,
+}
+# Fuzzy matching, canonical keys, BPE, alignments and robust fits have no SQL; tests compare them with brute force.
 ORACLES: dict[str, str] = {}

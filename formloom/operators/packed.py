@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 _OPEN, _CLOSE = "", ""
 # An apostrophe opens or closes a quoted span only where no letter or digit stands on its outer side.
 _SPANS = (
-    r'"(?:[^"]|"")*"'
-    r"|“[^”]*”"
-    r"|(?<![\p{L}\p{N}])'(?:''|[^']|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}]))*'(?![\p{L}\p{N}'])"
+    r'"[^"]*+(?:""[^"]*+)*+"'
+    r"|“[^”]*+”"
+    r"|(?<![\p{L}\p{N}])'[^']*+(?:(?:''|(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}]))[^']*+)*+'(?![\p{L}\p{N}'])"
     f"|{_OPEN}|{_CLOSE}"
 )
 _DELIMITERS = r"[,;|\t\r\n\x0B\f\u0085  ]|(?<!\S)/(?!\S)"
@@ -42,13 +42,13 @@ def split_packed(text: Column) -> Column:
         "",
     )
 
-    def restore(part: Column) -> Column:
+    def restore(part: Column, own: Column) -> Column:
         pieces = F.split(part, f"[{_OPEN}{_CLOSE}]", -1)
-        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.get(spans, p.cast("int"))).otherwise(p)), "")
+        whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.get(own, p.cast("int"))).otherwise(p)), "")
+        return F.struct(part.rlike(f"^{_OPEN}[0-9]+{_CLOSE}$").alias("alone"), whole.alias("whole"))
 
-    def unquote(part: Column) -> Column:
-        alone = part.rlike(f"^{_OPEN}[0-9]+{_CLOSE}$")
-        whole = restore(part)
+    def unquote(value: Column) -> Column:
+        whole = value["whole"]
         inner = F.substring(whole, F.lit(2), F.length(whole) - 2)
         first = F.substring(whole, 1, 1)
         opened = (
@@ -57,9 +57,18 @@ def split_packed(text: Column) -> Column:
             .when(first == "“", inner)
             .otherwise(whole)
         )
-        return _strip(F.when(alone, opened).otherwise(whole))
+        return _strip(F.when(value["alone"], opened).otherwise(whole))
 
-    return F.filter(F.transform(F.split(held, _DELIMITERS, -1), lambda p: unquote(_strip(p))), lambda v: v != "")
+    # A lambda's argument is computed once, so the spans are bound to one instead of being found again for each value.
+    bound = F.array(F.struct(spans.alias("spans"), held.alias("held")))
+    parts = F.transform(
+        bound,
+        lambda b: F.filter(
+            F.transform(F.transform(F.split(b["held"], _DELIMITERS, -1), lambda p: restore(_strip(p), b["spans"])), unquote),
+            lambda v: v != "",
+        ),
+    )
+    return F.element_at(parts, 1)
 
 
 def explode_packed(df: DataFrame, id_col: str, fields: list[str], least: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["shaping"]
+MODULES = ["shaping", "parsing", "joining"]
 
 
 def registry():

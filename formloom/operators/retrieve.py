@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from formloom.functions.vector import cosine
 from formloom.operators.aggregate import postings
 
+#: Scores are rounded so that ranks do not hang on the order of floating-point sums.
+DIGITS = 4
+
 
 class TextIndex:
     """Postings and statistics of a corpus: p (term, doc, tf), lengths (doc, dl), terms (term, df), and
@@ -43,7 +46,7 @@ def bm25(index: TextIndex, qterms: DataFrame, q: str, k1: float = 1.5, b: float
     idf = index.terms.join(qterms.select("term").distinct(), "term", "left_semi").crossJoin(s).select("term", F.when(F.col("idf0") < 0, eps * F.col("_aidf")).otherwise(F.col("idf0")).alias("idf"), F.col("_adl"))
     hit = qterms.join(idf, "term").join(index.p, "term").join(index.lengths, index.doc)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_adl")))
-    return hit.groupBy(q, index.doc).agg(F.round(F.sum(part), 6).alias("score"))
+    return hit.groupBy(q, index.doc).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def tfidf(index: TextIndex, qterms: DataFrame, q: str) -> DataFrame:
@@ -54,14 +57,14 @@ def tfidf(index: TextIndex, qterms: DataFrame, q: str) -> DataFrame:
     qx = qterms.join(w, "term").withColumn("y", F.col("qtf") * F.col("idf"))
     qn = qx.groupBy(q).agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("qn"))
     dots = qx.select(q, "term", "y").join(d.select("term", index.doc, "x"), "term").groupBy(q, index.doc).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    return dots.join(dn, index.doc).join(qn, q).select(q, index.doc, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    return dots.join(dn, index.doc).join(qn, q).select(q, index.doc, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), DIGITS).alias("score"))
 
 
 def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_vec: str) -> DataFrame:
     """(q, doc, score): cosine of every query of a stated set with every vector. The set must be a
     bounded part of the rows; it is broadcast in that bound, and the vectors stream past it."""
     qs = queries.select(F.col(q), F.col(q_vec).alias("_qv"))
-    return docs.select(F.col(doc), F.col(d_vec).alias("_dv")).crossJoin(F.broadcast(qs)).filter(F.col(q) != F.col(doc)).select(q, doc, F.round(cosine(F.col("_qv"), F.col("_dv")), 6).alias("score"))
+    return docs.select(F.col(doc), F.col(d_vec).alias("_dv")).crossJoin(F.broadcast(qs)).filter(F.col(q) != F.col(doc)).select(q, doc, F.round(cosine(F.col("_qv"), F.col("_dv")), DIGITS).alias("score"))
 
 
 def top_k(scored: DataFrame, q: str, doc: str, k: int, score: str = "score") -> DataFrame:
@@ -86,14 +89,14 @@ def mix(dense_norm: DataFrame, sparse_norm: DataFrame, q: str, doc: str, alpha:
     """alpha * dense + (1 - alpha) * sparse of the normalised scores; a missing side counts as 0."""
     a = dense_norm.select(q, doc, F.col("norm").alias("_d"))
     b = sparse_norm.select(q, doc, F.col("norm").alias("_s"))
-    return a.join(b, [q, doc], "full").select(q, doc, F.round(alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_s", F.lit(0.0)), 6).alias("score"))
+    return a.join(b, [q, doc], "full").select(q, doc, F.round(alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_s", F.lit(0.0)), DIGITS).alias("score"))
 
 
 def margin(ranked: DataFrame, q: str, doc: str, least: float, score: str = "score") -> DataFrame:
     """First of each query with its lead over the second, and whether the lead decides."""
     w = Window.partitionBy(q).orderBy(F.col(score).desc(), F.col(doc))
     rows = ranked.withColumn("_n", F.row_number().over(w)).withColumn("_s2", F.lead(score).over(w)).filter("_n = 1")
-    lead = F.round(F.col(score) - F.coalesce("_s2", F.lit(0.0)), 6)
+    lead = F.round(F.col(score) - F.coalesce("_s2", F.lit(0.0)), DIGITS)
     return rows.select(q, doc, score, lead.alias("lead"), (F.col("_s2").isNull() | (lead >= least)).alias("decided"))
 
 
@@ -106,12 +109,12 @@ def spill_over(ranked: DataFrame, q: str, doc: str, in_target: Column, least: in
     return t.withColumn("_k", keep).filter("_k").drop("_k")
 
 
-def boosted(scored: DataFrame, factors: list[tuple[Column, float]], score: str = "score") -> DataFrame:
+def boosted(scored: DataFrame, factors: list[tuple[Column, float]], score: str = "score", digits: int = 8) -> DataFrame:
     """Scores times the factor of each condition that holds."""
     s = F.col(score)
     for cond, f in factors:
         s = s * F.when(cond, f).otherwise(1.0)
-    return scored.withColumn(score, F.round(s, 6))
+    return scored.withColumn(score, F.round(s, digits))
 
 
 def link_score(parts: dict[str, Column], weights: dict[str, float], extra: Column) -> Column:
@@ -119,4 +122,4 @@ def link_score(parts: dict[str, Column], weights: dict[str, float], extra: Colum
     s = extra
     for name, w in weights.items():
         s = s + w * F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts[name]))
-    return F.round(s, 6)
+    return F.round(s, DIGITS)

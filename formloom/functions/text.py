@@ -27,13 +27,12 @@ def tokens(c: Column, least: int = 1) -> Column:
 
 def phrases(words: Column, longest: int = 3) -> Column:
     """All runs of one to ``longest`` words, joined by a blank."""
-    def runs(n: int) -> Column:
-        last = F.size(words) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    out = runs(1)
-    for n in range(2, longest + 1):
-        out = F.concat(out, runs(n))
-    return out
+    def runs(w: Column, n: int) -> Column:
+        last = F.size(w) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a lambda's argument, the words are made once and not again for each run.
+    return F.element_at(F.transform(F.array(words), lambda w: F.concat(*[runs(w, n) for n in range(1, longest + 1)])), 1)
 
 
 def trailing_code(label: Column) -> Column:

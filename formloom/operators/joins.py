@@ -55,6 +55,7 @@ def best_line(items: DataFrame, lines: DataFrame, page: list[str], item: str, it
     of many lines do not pair every line with every item.
     """
     i = items.select(*page, item, F.col(item_text).alias("_it"), F.array_distinct(tx.tokens(F.col(item_text))).alias("_iw"))
+    lines = lines.join(items.select(*page).distinct(), page, "left_semi")
     ln = lines.select(*page, pos, F.col(line_text).alias("_lt"), F.array_distinct(tx.tokens(F.col(line_text))).alias("_lw"))
     words = ln.select(*page, pos, F.explode("_lw").alias("_w"))
     pairs = i.select(*page, item, F.explode("_iw").alias("_w")).join(words, [*page, "_w"]).groupBy(*page, item, pos).agg(F.count(F.lit(1)).alias("score"))

@@ -7,10 +7,11 @@ with by their count, not by a grid of all queries and documents.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formloom.functions.vector import cosine
 from formloom.operators.aggregate import postings
 
 #: Scores are rounded so that ranks do not hang on the order of floating-point sums.
@@ -25,12 +26,12 @@ class TextIndex:
         from formloom.session import materialise
 
         self.doc = doc
-        base = docs.select(F.col(doc), words.alias("_w"))
-        self.p = materialise(postings(base, doc, F.col("_w")), "postings")
-        self.lengths = base.select(doc, F.size("_w").cast("long").alias("dl"))
+        self.p = materialise(postings(docs, doc, words), "postings")
+        self.lengths = self.p.groupBy(doc).agg(F.sum("tf").alias("dl"))
+        stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(self.p.agg(F.sum("tf").alias("_all")))  # one row each
+        stats = stats.select("n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_dl"))
         df = self.p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        stats = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-        self.terms = df.crossJoin(F.broadcast(stats)).withColumn("idf0", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        self.terms = materialise(df.crossJoin(F.broadcast(stats)).withColumn("idf0", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
         self.stats = stats.crossJoin(self.terms.agg(F.avg("idf0").alias("avg_idf")))  # one row each
 
 
@@ -60,11 +61,47 @@ def tfidf(index: TextIndex, qterms: DataFrame, q: str) -> DataFrame:
     return dots.join(dn, index.doc).join(qn, q).select(q, index.doc, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), DIGITS).alias("score"))
 
 
-def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_vec: str) -> DataFrame:
-    """(q, doc, score): cosine of every query of a stated set with every vector. The set must be a
-    bounded part of the rows; it is broadcast in that bound, and the vectors stream past it."""
-    qs = queries.select(F.col(q), F.col(q_vec).alias("_qv"))
-    return docs.select(F.col(doc), F.col(d_vec).alias("_dv")).crossJoin(F.broadcast(qs)).filter(F.col(q) != F.col(doc)).select(q, doc, F.round(cosine(F.col("_qv"), F.col("_dv")), DIGITS).alias("score"))
+def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_vec: str, block: int = 4096) -> DataFrame:
+    """(q, doc, score): cosine of every query of a stated set with every other vector.
+
+    The queries are sent out in blocks of at most ``block`` vectors, and the vectors stream past each
+    block as matrix products. Null vectors, vectors of another length and of norm 0 give no rows.
+    """
+    spark = docs.sparkSession
+    types = (queries.schema[q].dataType.simpleString(), docs.schema[doc].dataType.simpleString())
+    out, held = None, []
+
+    def against(rows: list) -> DataFrame:
+        ids = np.asarray([r[0] for r in rows])
+        mat = np.asarray([r[1] for r in rows], float)
+        mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+        sent = spark.sparkContext.broadcast((ids, mat))
+
+        def run(batches):
+            own_ids, own = sent.value
+            for batch in batches:
+                keep = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == own.shape[1] and any(v)]
+                if not keep:
+                    continue
+                m = np.asarray([v for _, v in keep], float)
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                scores = m @ own.T
+                d = np.repeat(np.asarray([i for i, _ in keep]), own_ids.size)
+                qs = np.tile(own_ids, len(keep))
+                other = d != qs
+                yield pa.RecordBatch.from_arrays([pa.array(qs[other]), pa.array(d[other]), pa.array(scores.ravel()[other])], names=["q", "d", "s"])
+
+        found = docs.select(doc, d_vec).mapInArrow(run, f"q {types[0]}, d {types[1]}, s double")
+        return found.select(F.col("q").alias(q), F.col("d").alias(doc), F.round("s", DIGITS).alias("score"))
+
+    good = queries.filter(F.col(q_vec).isNotNull() & F.exists(q_vec, lambda x: x != 0)).select(q, q_vec)
+    for row in good.toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == block:
+            out, held = (against(held) if out is None else out.unionByName(against(held))), []
+    if held:
+        out = against(held) if out is None else out.unionByName(against(held))
+    return out if out is not None else spark.createDataFrame([], f"{q} {types[0]}, {doc} {types[1]}, score double")
 
 
 def top_k(scored: DataFrame, q: str, doc: str, k: int, score: str = "score") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.catalog import table
+from formloom.catalog import spread, table
 from formloom.functions import text as tx
 from formloom.functions.fuzzy import sequence_ratio
 from formloom.operators import joins, parse
@@ -36,7 +36,7 @@ def jn_neighbours(spark: SparkSession, root: str) -> DataFrame:
 
 def jn_contains_argmax(spark: SparkSession, root: str) -> DataFrame:
     """JN07, SET05, JN09: each distinct answer of a page with the line of the page that holds it best."""
-    docs = table(spark, root, "documents")
+    docs = spread(table(spark, root, "documents").select("doc_id", "text"))
     lines = parse.lines(docs, "doc_id", "text")
     items = parse.tagged(docs, "doc_id", "text").filter("tag = '<INPUT>' AND text <> ''").groupBy("doc_id", "text").agg(F.min("pos").alias("item"))
     return joins.best_line(items, lines, ["doc_id"], "item", "text", "pos", "line")
@@ -94,7 +94,7 @@ def jn_fuzzy_ratio(spark: SparkSession, root: str) -> DataFrame:
 
 def jn_alias_ngrams(spark: SparkSession, root: str) -> DataFrame:
     """JN18, ARR02: labels that stand in question texts, through word runs of up to three words."""
-    q = table(spark, root, "page_annotations").filter("text IS NOT NULL").select("row_id", F.explode(F.array_distinct(tx.phrases(tx.tokens(F.col("text")), 3))).alias("alias"))
+    q = spread(table(spark, root, "page_annotations").select("row_id", "text")).filter("text IS NOT NULL").select("row_id", F.explode(F.array_distinct(tx.phrases(tx.tokens(F.col("text")), 3))).alias("alias"))
     a = table(spark, root, "sdtm_domains").select(F.explode(F.array(F.lower("domain_name"), F.lower(F.substring_index("domain_name", " ", -1)))).alias("alias"), "domain_code").groupBy("alias").agg(F.min("domain_code").alias("domain_code"))
     return q.join(a, "alias").select("row_id", "alias", "domain_code")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.catalog import table
+from formloom.catalog import spread, table
 from formloom.functions import text as tx
 from formloom.operators import parse
 
@@ -13,7 +13,7 @@ CUES = ["specify", "describe", "date of", "reason for"]
 
 
 def _docs(spark, root):
-    return table(spark, root, "documents")
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
 
 
 def _items(spark, root):

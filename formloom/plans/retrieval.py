@@ -6,14 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.catalog import table
+from formloom.catalog import spread, table
 from formloom.functions import text as tx
 from formloom.operators import retrieve
 
 
 
 def _index(spark, root):
-    return retrieve.TextIndex(table(spark, root, "documents").select("doc_id", "text"), "doc_id", tx.tokens(F.coalesce("text", F.lit("")), 3))
+    return retrieve.TextIndex(spread(table(spark, root, "documents").select("doc_id", "text")), "doc_id", tx.tokens(F.coalesce("text", F.lit("")), 3))
 
 
 def _queries(spark, root):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.catalog import table
+from formloom.catalog import spread, table
 from formloom.operators import drift, nested, orphans, packed
 
 #: Canonical fields of a result record and their types.
@@ -18,7 +18,7 @@ RECORD_SCHEMA = {
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Options and question annotations of all nested pages."""
-    return nested.flatten_options(table(spark, root, "page_results"))
+    return nested.flatten_options(spread(table(spark, root, "page_results").select("result_id", "payload")))
 
 
 def _references(spark: SparkSession, root: str):
@@ -126,7 +126,7 @@ FROM r GROUP BY file_id, field_name
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Each value of the packed annotation fields, with its position."""
-    return packed.explode_packed(table(spark, root, "page_annotations"), "row_id", ["annotation", "option_annotations"])
+    return packed.explode_packed(spread(table(spark, root, "page_annotations").select("row_id", "annotation", "option_annotations")), "row_id", ["annotation", "option_annotations"])
 
 
 QUERIES = {

@@ -75,6 +75,7 @@ class Ledger:
         self.version += 1
         path = f"{self.base}/v{self.version}"
         fresh = batch.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).withColumn("bucket", self._bucket())
+        touched: list[int] = []
         if not self.at:
             merged = fresh
         else:
@@ -91,8 +92,9 @@ class Ledger:
                 F.coalesce("o.bucket", "f.bucket").alias("bucket"),
             )
         merged.repartition(F.col("bucket")).write.partitionBy("bucket").parquet(path)
-        written = self.spark.read.schema(self.SCHEMA).parquet(path).select("bucket").distinct().collect()  # at most n_buckets rows
-        self.at |= {r[0]: path for r in written}
+        if not self.at:
+            touched = [r[0] for r in self.spark.read.schema(self.SCHEMA).parquet(path).select("bucket").distinct().collect()]  # at most n_buckets rows
+        self.at |= dict.fromkeys(touched, path)
 
 
 def collapse(keyed: DataFrame, most_batches: int = 12) -> Ledger:
@@ -109,6 +111,13 @@ def collapse(keyed: DataFrame, most_batches: int = 12) -> Ledger:
     return ledger
 
 
+def _keyed_by_batch(df: DataFrame, id_col: str, group_col: str, text_col: str, packed_col: str, batch: Column | None) -> DataFrame:
+    """Keyed records in the shared folder, in a folder for each batch, so a batch reads its own rows only.
+    Batches are named by text."""
+    name = F.lit("all") if batch is None else batch.cast("string")
+    return materialise(keyed_records(df, id_col, group_col, text_col, packed_col, name), "keyed-records", ["batch"])
+
+
 def duplicate_members(df: DataFrame, id_col: str = "row_id", group_col: str = "study_id", text_col: str = "text", packed_col: str = "annotation", batch: Column | None = None) -> DataFrame:
     """(first_id, copy_id): for each set of like records of one group, the smallest id and one row
     for every other member.
@@ -117,7 +126,7 @@ def duplicate_members(df: DataFrame, id_col: str = "row_id", group_col: str = "s
     Null groups form one group. Repeated rows with the same id are one member. ``batch`` orders the
     arrival of the records; other columns of ``df`` are not read.
     """
-    keyed = materialise(keyed_records(df, id_col, group_col, text_col, packed_col, F.lit("all") if batch is None else batch), "keyed-records")
+    keyed = _keyed_by_batch(df, id_col, group_col, text_col, packed_col, batch)
     several = collapse(keyed).rows().filter(F.col("n") > 1)
     grp = F.coalesce(F.concat(F.lit("="), F.col("grp")), F.lit(""))
     heads = several.select(grp.alias("g"), "key", "first_id")
@@ -127,5 +136,5 @@ def duplicate_members(df: DataFrame, id_col: str = "row_id", group_col: str = "s
 
 def duplicate_counts(df: DataFrame, id_col: str = "row_id", group_col: str = "study_id", text_col: str = "text", packed_col: str = "annotation", batch: Column | None = None) -> DataFrame:
     """(study_id, first_id, n_copies) of every distinct record, from the ledger."""
-    keyed = materialise(keyed_records(df, id_col, group_col, text_col, packed_col, F.lit("all") if batch is None else batch), "keyed-records")
+    keyed = _keyed_by_batch(df, id_col, group_col, text_col, packed_col, batch)
     return collapse(keyed).rows().select(F.col("grp").alias(group_col), "first_id", F.col("n").alias("n_copies"))

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.catalog import table
+from formloom.catalog import spread, table
 from formloom.llm import dedup, entries, leak, quality, tokenizer
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
+
+
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "page_annotations").select("row_id", "study_id", "text", "annotation", "loaded_at"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """The dictionary entry meant by each hand-typed value."""
     return entries.map_entries(table(spark, root, "typed_entries"), table(spark, root, "sdtm_variables"), table(spark, root, "ct_terms"))
@@ -16,32 +24,32 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Records of a study that differ in formatting only; batches are the years of arrival."""
-    return dedup.duplicate_members(table(spark, root, "page_annotations"), batch=F.date_format("loaded_at", "yyyy"))
+    return dedup.duplicate_members(_records(spark, root), batch=F.date_format("loaded_at", "yyyy"))
 
 
 def p6_copies(spark: SparkSession, root: str) -> DataFrame:
     """Each distinct record with its number of copies."""
-    return dedup.duplicate_counts(table(spark, root, "page_annotations"), batch=F.date_format("loaded_at", "yyyy"))
+    return dedup.duplicate_counts(_records(spark, root), batch=F.date_format("loaded_at", "yyyy"))
 
 
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
-    return tokenizer.encode_documents(table(spark, root, "documents"))
+    return tokenizer.encode_documents(_texts(spark, root))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold at least half of an evaluation item."""
-    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return leak.leaks(_texts(spark, root), table(spark, root, "eval_items"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that are no natural prose, with their kind."""
-    return quality.not_prose(table(spark, root, "documents"))
+    return quality.not_prose(_texts(spark, root))
 
 
 def p9_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality statistics of every document with what makes it an outlier."""
-    df = quality.quality(table(spark, root, "documents"))
+    df = quality.quality(_texts(spark, root))
     return df.withColumn("contributions", F.array_join(F.transform("contributions", lambda v: F.format_number(v, 3)), ";"))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from formloom.operators.aggregate import postings
 
@@ -69,6 +70,7 @@ def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_v
     """
     spark = docs.sparkSession
     types = (queries.schema[q].dataType.simpleString(), docs.schema[doc].dataType.simpleString())
+    arrow = (to_arrow_type(queries.schema[q].dataType), to_arrow_type(docs.schema[doc].dataType))
     out, held = None, []
 
     def against(rows: list) -> DataFrame:
@@ -89,7 +91,7 @@ def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_v
                 d = np.repeat(np.asarray([i for i, _ in keep]), own_ids.size)
                 qs = np.tile(own_ids, len(keep))
                 other = d != qs
-                yield pa.RecordBatch.from_arrays([pa.array(qs[other]), pa.array(d[other]), pa.array(scores.ravel()[other])], names=["q", "d", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(qs[other]).cast(arrow[0]), pa.array(d[other]).cast(arrow[1]), pa.array(scores.ravel()[other])], names=["q", "d", "s"])
 
         found = docs.select(doc, d_vec).mapInArrow(run, f"q {types[0]}, d {types[1]}, s double")
         return found.select(F.col("q").alias(q), F.col("d").alias(doc), F.round("s", DIGITS).alias("score"))

@@ -47,7 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below this application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/formloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has written to its part of the shared folder. Results that have not
+    been read or written yet become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/formloom-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["shaping", "parsing", "joining", "aggregating", "retrieval", "mapping", "running"]
+MODULES = ["shaping", "parsing", "joining", "aggregating", "retrieval", "mapping", "details", "running"]
 
 
 def registry():

@@ -1,4 +1,4 @@
-"""Readers of page files, gold annotations, dictionaries and terminology, and a cached REST source."""
+"""Readers of page files, gold annotations, dictionaries and terminology, and a cached REST source (SRC01 to SRC16)."""
 
 from __future__ import annotations
 
@@ -17,14 +17,14 @@ GOLD_SCHEMA = f"file string, page_id int, annotations array<struct<{GOLD}>>, bro
 
 
 def read_pages(spark: SparkSession, folder: str, glob: str = "page_*.json") -> DataFrame:
-    """Items of all page files of a folder in file order; a file that does not parse gives one row with
+    """SRC04 to SRC06. Items of all page files of a folder in file order; a file that does not parse gives one row with
     its text in ``broken`` and no item."""
     raw = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", glob).json(folder)
     return raw.select(F.col("_metadata.file_name").alias("file_name"), "page_id", "broken", F.explode_outer("items").alias("item")).select("file_name", "page_id", "broken", "item.*")
 
 
 def read_gold(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotations of gold pages with option annotations as a variant, as they come in several shapes;
+    """SRC12. Annotations of gold pages with option annotations as a variant, as they come in several shapes;
     rows with a blank text or annotation are kept, see ``usable_gold``."""
     raw = spark.read.schema(GOLD_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "page_*_result.json").json(folder)
     page = F.regexp_extract(F.col("_metadata.file_name"), r"page_(\d+)", 1).cast("int")
@@ -36,14 +36,14 @@ def usable_gold(gold: DataFrame) -> DataFrame:
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of a terminology package, two nested levels flattened."""
+    """SRC08. Terms of a terminology package, two nested levels flattened."""
     schema = "codelists array<struct<codelist:struct<ncitCode:string, shortName:string, definition:string, extensible:string>, terms:array<struct<submissionValue:string, preferredTerm:string, definition:string, synonyms:array<string>, ncitCode:string>>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("codelists").alias("c"))
     return raw.select(F.col("c.codelist.ncitCode").alias("codelist_code"), F.col("c.codelist.shortName").alias("codelist_name"), F.explode("c.terms").alias("t")).select("codelist_code", "codelist_name", "t.*")
 
 
 def read_variables(spark: SparkSession, path: str) -> DataFrame:
-    """Variables from either shape of the file: a list of rows, or an object of rows by domain."""
+    """SRC09, MSC10. Variables from either shape of the file: a list of rows, or an object of rows by domain."""
     text = spark.read.text(path, wholetext=True)
     row = "struct<domain:string, name:string, label:string, type:string, role:string, core:string, codelist:string>"
     as_list = text.select(F.explode_outer(F.from_json("value", f"array<{row}>")).alias("v")).filter("v.name IS NOT NULL")
@@ -57,7 +57,7 @@ def is_pointer(text: str) -> bool:
 
 
 def first_readable(paths: list[str]) -> str | None:
-    """The first path that exists and holds content; None leads to the seed tables."""
+    """SRC07, MSC06. The first path that exists and holds content; None leads to the seed tables."""
     for p in paths:
         if os.path.exists(p):
             with open(p, encoding="utf-8", errors="replace") as f:
@@ -71,7 +71,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class CachedSource:
-    """JSON answers of an endpoint kept as files. A fresh answer is used as it is; else ``fetch`` is
+    """SRC13, DTE01. JSON answers of an endpoint kept as files. A fresh answer is used as it is; else ``fetch`` is
     asked, at most once each ``pause`` seconds; if it fails, an expired answer serves."""
 
     def __init__(self, folder: str, fetch: Callable[[str], dict] | None, max_age: float = 7 * 86400, pause: float = 0.5):
@@ -101,13 +101,13 @@ class CachedSource:
         return None
 
     def frame(self, spark: SparkSession, endpoint: str, links: str) -> DataFrame:
-        """The (href, title, type) links under ``links`` of an answer; none if there is no answer."""
+        """SRC14. The (href, title, type) links under ``links`` of an answer; none if there is no answer."""
         got = self.get(endpoint) or {}
         rows = [(x.get("href"), x.get("title"), x.get("type")) for x in (got.get("_links") or {}).get(links, [])]
         return spark.createDataFrame(rows, "href string, title string, type string")
 
 
 def normalise_box(df: DataFrame, width: str, height: str) -> DataFrame:
-    """x1, y1, x2, y2 as shares of the page; null where the page has no size."""
+    """SRC01 to SRC03, where lines were extracted before. x1, y1, x2, y2 as shares of the page; null where the page has no size."""
     w, h = F.nullif(F.col(width), F.lit(0)), F.nullif(F.col(height), F.lit(0))
     return df.withColumns({"x1": F.col("x1") / w, "x2": F.col("x2") / w, "y1": F.col("y1") / h, "y2": F.col("y2") / h})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_pages(items: DataFrame, path: str, doc: str = "doc_id") -> None:
-    """Items as JSON, a folder for each document."""
+    """SNK01, SNK03. Items as JSON, a folder for each document."""
     items.write.mode("overwrite").partitionBy(doc).json(path)
 
 
@@ -17,19 +17,19 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_corpus(examples: DataFrame, path: str) -> None:
-    """Instruction examples as JSON lines, as instruction-input-output lines, and their counts."""
+    """SNK06, SNK04, SNK05. Instruction examples as JSON lines, as instruction-input-output lines, and their counts."""
     write_lines(examples, f"{path}/examples")
     write_lines(examples.select("instruction", F.lit("").alias("input"), "output"), f"{path}/alpaca")
     examples.groupBy("step").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def write_split(rows: DataFrame, path: str) -> None:
-    """Rows by their split, in one pass."""
+    """SNK07. Rows by their split, in one pass."""
     rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
 def write_queue(rows: DataFrame, path: str, condition: str) -> bool:
-    """Rows that need a second look; nothing is written if there are none."""
+    """SNK02. Rows that need a second look; nothing is written if there are none."""
     queue = rows.filter(condition)
     if queue.isEmpty():
         return False
@@ -38,11 +38,12 @@ def write_queue(rows: DataFrame, path: str, condition: str) -> bool:
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Audit rows with the time they were written."""
+    """SNK08, MSC08. Audit rows with the time they were written."""
     rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def vector_cache_key(model: str, counts: list[int]) -> str:
+    """SNK09, HSH01. Name of a table of cached vectors."""
     import hashlib
 
     return hashlib.sha1(":".join([model, *map(str, counts)]).encode()).hexdigest()[:12]

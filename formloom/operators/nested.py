@@ -30,7 +30,7 @@ def _rows(payloads: list[bytes]):
     alive = f.doc >= 0
     par = f.parent
     safe = np.maximum(par, 0)
-    is_list = alive & np.isin(f.key.astype(str), _LISTS) & (par >= 0)
+    is_list = alive & ((f.key == _LISTS[0]) | (f.key == _LISTS[1])).astype(bool) & (par >= 0)
     is_list &= np.where(par >= 0, f.kind[safe] == jx.OBJ, False)
 
     child: dict[str, np.ndarray] = {}

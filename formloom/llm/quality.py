@@ -34,6 +34,8 @@ LEAST_SD = np.array([0.05, 0.07, 0.03, 0.03, 0.02, 0.12, 0.06, 0.20, 1.00, 0.50]
 #: Squared distance beyond which a segment is no prose, for plain lines and for lines that look like items or rows.
 CUTOFF, CUTOFF_MARKED = 24.0, 14.0
 _FIT_CUTOFF = 25.0
+#: Share of distinct three-word runs below which a text is one fragment again and again.
+REPEATED = 0.2
 KINDS = ["prose", "list", "table", "junk"]
 _MASK: dict[str, int] = {}
 for _i, _l in enumerate(LANGUAGES):
@@ -154,11 +156,19 @@ def statistics(lines: list[str]) -> tuple[int, int, list[float]]:
 
 
 def repetition(text: str) -> float:
-    """Share of a text's three-word runs that are distinct; 1 for texts under 30 words."""
+    """Share of three-word runs that are distinct, as the mean over stretches of 300 words, so that it
+    does not fall with the length of a text; 1 for texts under twelve words."""
     t = text.split()
-    if len(t) < 30:
+    n = len(t)
+    if n < 12:
         return 1.0
-    return len(set(zip(t, t[1:], t[2:]))) / (len(t) - 2)
+    shares = []
+    for at in range(0, n - 2, 300):
+        part = t[at : at + 302]
+        if len(part) < 12:
+            continue
+        shares.append(len(set(zip(part, part[1:], part[2:]))) / (len(part) - 2))
+    return sum(shares) / len(shares)
 
 
 def segment_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -295,7 +305,7 @@ def judge(chars, sigs, lines, x, d2, counts, distinct):
     wild |= cells & (chars >= 120) & single & ((symbols > 0.28) | (odd > 0.15))
     kind[out & cells] = 2
     kind[out & wild] = 3
-    again = (distinct < 0.15)[doc] if doc.size else np.zeros(0, bool)
+    again = (distinct < REPEATED)[doc] if doc.size else np.zeros(0, bool)
     kind[again] = 3
     n = kind.size
     short = chars < 40

@@ -1,9 +1,9 @@
 """Hand-typed values mapped to the closest entry of a reference list.
 
-Typed values are deduplicated and normalised; candidates come from an inverted index of character
-n-grams over every wording of every entry; pairs are scored by the cosine of idf-weighted grams.
-The best-scored candidates of a value then pass an edit check, and a value is accepted if its
-best entry is within the edit budget and clear of the second entry by a margin.
+Typed values are deduplicated and normalised and compared with every wording of their scope: pairs
+whose lengths and plain edit distances allow it pass an edit check. Those that pass are scored by the
+cosine of idf-weighted character n-grams, from an inverted index over every wording of every entry,
+and a value is accepted if its best entry is clear of the second entry by a margin.
 """
 
 from __future__ import annotations
@@ -96,11 +96,19 @@ def _word_edits(typed: Column, spaced: Column) -> Column:
     return F.when((F.size(typed) == F.size(words_of)) & (F.size(typed) > 1), F.when(total < 1000, total))
 
 
+def _may_pass(value: Column, form: Column, bare: Column, cut: Column, parts: Column) -> Column:
+    """Whether a pair can pass the edit check at all, told cheaply. ``_edits`` is at least the difference
+    of the lengths and half the plain edit distance, so 3 edits are out of reach of a pair beyond 3 and
+    6, and the 2 edits of a word out of reach of words beyond 2 and 4."""
+    near = lambda a, b, n: F.when(F.abs(F.length(a) - F.length(b)) <= n, F.levenshtein(a, b, 2 * n) >= 0).otherwise(False)
+    words_near = F.forall(F.arrays_zip(bare.alias("b"), cut.alias("c"), parts.alias("p")), lambda x: F.when(x["c"] & x["p"].startswith(x["b"]), True).otherwise(near(x["b"], x["p"], 2)))
+    return F.when(near(value, form, 3), True).when((F.size(parts) > 1) & (F.size(bare) == F.size(parts)), words_near).otherwise(False)
+
+
 def map_values(
     values: DataFrame,
     entries: DataFrame,
     least_cosine: float = 0.2,
-    keep: int = 8,
     margin: float = 0.02,
     most_broadcast_rows: int = 2_000_000,
     salts: int = 16,
@@ -114,7 +122,8 @@ def map_values(
     is '[UNMATCHED]'. A value that is exactly a wording known in other scopes of its field only
     is unmatched, as something else is meant. Values without letters or digits, and values whose
     scope has no entries, are unmatched. Null values must be left out by the caller.
-    ``keep`` candidates a value go to the edit check, by cosine; an exact wording always has cosine 1.
+    No pair is left out before the edit check. ``least_cosine`` holds only for pairs of at most two
+    letters that are not equal, as one edit leaves next to nothing of them.
     """
     distinct = values.select("field_name", "scope", "value").distinct().withColumn("form", compact(F.col("value")))
     distinct = materialise(distinct, "typed-values")
@@ -127,34 +136,41 @@ def map_values(
     post = materialise(post.join(weights, ["field_name", "scope", "gram"]), "postings")
     rare = F.log(1 + F.col("n").cast("double")) ** 2  # a gram unknown to the index weighs as one that occurs once
 
-    asked = distinct.filter(F.col("form") != "").withColumn("gram", F.explode(grams(F.col("form"))))
-    norms_form = post.groupBy("field_name", "scope", "canonical", "form").agg(F.sqrt(F.sum("w2")).alias("nf"))
-    key = ["field_name", "scope", "gram"]
-    if post.count() <= most_broadcast_rows:
-        hits = asked.withColumnRenamed("form", "vform").join(F.broadcast(post), key)
-        known = asked.join(F.broadcast(weights), key, "left").join(F.broadcast(n_forms), ["field_name", "scope"])
+    typed = _typed_words(F.col("value"))
+    asked = distinct.filter(F.col("form") != "").select("field_name", "scope", "value", F.col("form").alias("vform"), typed.alias("typed"))
+    asked = asked.withColumns({"bare": F.transform("typed", lambda t: F.regexp_replace(t, "[.]$", "")), "cut": F.transform("typed", lambda t: t.endswith(".") & (F.length(t) >= 3))})
+    against = forms.withColumn("parts", F.split("spaced", " "))
+    scope = ["field_name", "scope"]
+    small = post.count() <= most_broadcast_rows
+    if small:
+        pairs = asked.join(F.broadcast(against), scope)
     else:
-        salt = (F.rand(7) * salts).cast("int")
+        salt = F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
         spread = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-        hits = asked.withColumnRenamed("form", "vform").withColumn("_s", salt).join(post.withColumn("_s", spread), [*key, "_s"]).drop("_s")
-        known = asked.withColumn("_s", salt).join(weights.withColumn("_s", spread), [*key, "_s"], "left").join(n_forms, ["field_name", "scope"])
-    norms_value = known.groupBy("field_name", "scope", "value").agg(F.sqrt(F.sum(F.coalesce("w2", rare))).alias("nv"))
-    pairs = (
-        hits.groupBy("field_name", "scope", "value", "vform", "canonical", "form", "strict", "spaced").agg(F.sum("w2").alias("dot"))
-        .join(norms_form, ["field_name", "scope", "canonical", "form"])
-        .join(norms_value, ["field_name", "scope", "value"])
-        .withColumn("cosine", F.col("dot") / (F.col("nf") * F.col("nv")))
-        .filter(F.col("cosine") >= least_cosine)
-    )
-    by_value = Window.partitionBy("field_name", "scope", "value")
-    top = pairs.withColumn("_r", F.row_number().over(by_value.orderBy(F.desc("cosine"), "canonical", "form"))).filter(F.col("_r") <= keep)
+        pairs = asked.withColumn("_s", salt).join(against.withColumn("_s", spread), [*scope, "_s"]).drop("_s")
+    pairs = pairs.filter(_may_pass(F.col("vform"), F.col("form"), F.col("bare"), F.col("cut"), F.col("parts")))
     longest = F.greatest(F.length("form"), F.length("vform"))
-    typed = _typed_words(F.col("value"))
-    together = F.size(typed) != F.size(F.split("spaced", " "))
+    together = F.size("typed") != F.size("parts")
     budget = F.when(F.col("strict"), 0).when(longest <= 7, 1).when((longest >= 15) & together, 3).otherwise(2)
     whole = _edits(F.col("form"), F.col("vform"))
-    by_word = F.when(~F.col("strict"), _word_edits(typed, F.col("spaced")))
-    checked = top.withColumn("edits", F.least(F.when(whole <= budget, whole), by_word)).filter(F.col("edits").isNotNull())
+    by_word = F.when(~F.col("strict"), _word_edits(F.col("typed"), F.col("spaced")))
+    near = pairs.select(*scope, "value", "vform", "canonical", "form", F.least(F.when(whole <= budget, whole), by_word).alias("edits"))
+    near = materialise(near.filter(F.col("edits").isNotNull()), "near-pairs")
+
+    of_value = near.select(*scope, "value", "vform").distinct().withColumn("gram", F.explode(grams(F.col("vform"))))
+    of_pair = near.withColumn("gram", F.explode(grams(F.col("vform"))))
+    norms_form = post.groupBy(*scope, "canonical", "form").agg(F.sqrt(F.sum("w2")).alias("nf"))
+    sized = F.broadcast if small else (lambda df: df)
+    known = of_value.join(sized(weights), [*scope, "gram"], "left").join(sized(n_forms), scope)
+    norms_value = known.groupBy(*scope, "value").agg(F.sqrt(F.sum(F.coalesce("w2", rare))).alias("nv"))
+    dots = of_pair.join(sized(post.select(*scope, "canonical", "form", "gram", "w2")), [*scope, "canonical", "form", "gram"], "left").groupBy(*near.columns).agg(F.coalesce(F.sum("w2"), F.lit(0.0)).alias("dot"))
+    checked = (
+        dots.join(norms_form, [*scope, "canonical", "form"])
+        .join(norms_value, [*scope, "value"])
+        .withColumn("cosine", F.col("dot") / (F.col("nf") * F.col("nv")))
+        .filter((F.col("cosine") >= least_cosine) | (F.col("edits") == 0) | (longest > 2))
+    )
+    by_value = Window.partitionBy("field_name", "scope", "value")
     entry_best = checked.groupBy("field_name", "scope", "value", "vform", "canonical").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("neg"))).alias("_b"))
     ranked = entry_best.select("field_name", "scope", "value", "vform", "canonical", "_b.edits", (-F.col("_b.neg")).alias("cosine"))
     order = by_value.orderBy("edits", F.desc("cosine"), "canonical")

@@ -159,6 +159,22 @@ def test_salted_path_equals_broadcast_path(spark):
     assert a == b and [r[3] for r in a if r[2] == "alpah"] == ["ALPHA"]
 
 
+def test_no_near_wording_is_left_out(spark):
+    """Words cut to two letters, a wrong letter in a short word, and a rival whose siblings would fill eight places."""
+    kinds = "marrow tendon kidney spleen thymus retina cornea larynx ureter biceps".split()
+    cut = [(f"{a} {b} {c}").upper() for a, b, c in zip(kinds, kinds[3:] + kinds[:3], kinds[7:] + kinds[:7])]
+    near = [f"LOWER {k.upper()} MUSCLE REGION" for k in kinds]
+    ents = [("f", "s", c, [c, f"other wording {i} of it", f"code nr {i}{i} here"], []) for i, c in enumerate(cut)] + [("f", "t", c, [c], []) for c in near] + [("f", "u", "CLOT", ["CLOT"], []), ("f", "u", "AB", ["AB"], [])]
+    ents += [("f", "u", f"WORD NUMBER {i} IN LINE", [f"WORD NUMBER {i} IN LINE"], []) for i in range(60)]
+    ents += [("f", "v", f"AAA BBB CC{c} DDD", [f"AAA BBB CC{c} DDD"], []) for c in "EFGHIJKMNP"]
+    typed = [("s", " ".join(w[:2] + "." for w in c.split()), c) for c in cut] + [("t", "lo. ki. mu. re.", "LOWER KIDNEY MUSCLE REGION"), ("u", "cxot", "CLOT"), ("u", "xy", entries.UNMATCHED), ("v", "aaa bbb ccp ddd", "AAA BBB CCP DDD"), ("v", "aa. bb. cc. dd.", entries.UNMATCHED)]
+    made = spark.createDataFrame(ents, "field_name string, scope string, canonical string, texts array<string>, strict_texts array<string>")
+    values = spark.createDataFrame([("f", s, v) for s, v, _ in typed], "field_name string, scope string, value string")
+    for rows in (2_000_000, 0):
+        got = {(r.scope, r.value): r.canonical for r in entries.map_values(values, made, most_broadcast_rows=rows).collect()}
+        assert got == {(s, v): c for s, v, c in typed}
+
+
 # --- p9 -----------------------------------------------------------------------------------------
 
 def test_quality_kinds(spark):

@@ -66,18 +66,29 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def lemma_bound(lengths: list[int], q: int) -> int:
-    """Fewest q-grams that a passage of half the words shares with the item: those of the shortest
-    such window, less those that the allowed number of changed words can destroy."""
-    half = -(-len(lengths) // 2)
-    errors = int(half * _ERRORS)
-    least = None
-    for i in range(len(lengths) - half + 1):
-        window = lengths[i : i + half]
-        lost = sum(sorted(window)[half - errors :]) if errors else 0
-        bound = sum(window) - lost - (errors + 1) * (q - 1)
-        least = bound if least is None else min(least, bound)
-    return least or 0
+def kept_letters(lengths: list[int]) -> list[tuple[int, int]]:
+    """(errors, letters) for each number of changed words that a passage of half the words or more may
+    have: the fewest letters left of such a passage without that many words. A longer passage
+    with no more errors keeps more, so each number is taken at its least size. Windows are counted by
+    word length, all at once."""
+    n = len(lengths)
+    kinds, code = np.unique(np.asarray(lengths, np.int64), return_inverse=True)
+    seen = np.zeros((n + 1, kinds.size), np.int64)
+    seen[np.arange(1, n + 1), code] = 1
+    seen = seen.cumsum(0)
+    out: dict[int, int] = {}
+    for size in range(-(-n // 2), n + 1):
+        errors = int(size * _ERRORS)
+        if errors not in out:
+            upto = np.minimum((seen[size:] - seen[:-size]).cumsum(1), size - errors)  # the shortest words stay
+            out[errors] = int((np.diff(upto, axis=1, prepend=0) @ kinds).min())
+    return sorted(out.items())
+
+
+def lemma_bound(kept: list[tuple[int, int]], q: int) -> int:
+    """Fewest q-grams that a passage of half the words or more shares with the item: those of the letters
+    that are left, less those across the borders of the changed words."""
+    return min(letters - (errors + 1) * (q - 1) for errors, letters in kept)
 
 
 class ItemIndex:
@@ -94,10 +105,11 @@ class ItemIndex:
             if not ws:
                 continue
             lengths = [len(w.encode()) for w in ws]
+            kept = kept_letters(lengths)
             q = _LARGEST_Q
-            while q > 1 and lemma_bound(lengths, q) < min(12, q):
+            while q > 1 and lemma_bound(kept, q) < min(12, q):
                 q -= 1
-            self.bound[n] = max(1, lemma_bound(lengths, q))
+            self.bound[n] = max(1, lemma_bound(kept, q))
             by_q.setdefault(q, []).append(n)
         for q, members in sorted(by_q.items()):
             hashes, owner, offset = [], [], []

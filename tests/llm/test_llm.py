@@ -100,6 +100,28 @@ def test_short_items_are_found(spark):
     assert got == {(1, 1), (3, 2)}
 
 
+def long_item(rng, n):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [17, 18, 30, 38, 58, 78, 118])
+def test_windows_beyond_half_are_found(n):
+    """Windows of the next multiple of ten words, with one word in ten wrong, evenly spread."""
+    rng = random.Random(n)
+    size = -(-n // 2) + -(-n // 2) * -1 % 10
+    items = [long_item(rng, n) for _ in range(30)]
+    texts = []
+    for own in items:
+        part, errors = own[:size], size // 10
+        for k in range(errors):
+            part[(2 * k + 1) * size // (2 * errors)] = "zzqzz"
+        texts.append(" ".join([*long_item(rng, 20), *part, *long_item(rng, 20)]))
+    assert all(brute_leak(" ".join(own), t) for own, t in zip(items[:3], texts))
+    index = leak.ItemIndex([(i, " ".join(own)) for i, own in enumerate(items)])
+    assert {(i, i) for i in range(30)} == set(leak.search(index, texts, 1000))
+
+
 # --- p6 -----------------------------------------------------------------------------------------
 
 def test_duplicates(spark):

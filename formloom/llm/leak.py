@@ -3,8 +3,8 @@
 Texts are reduced to their letters and digits, so case, punctuation, spacing, quote marks and broken
 words do not count. A passage that holds half of an item's words with at most one word in ten
 changed must share a computable number of character q-grams with the item, all near one diagonal
-(the q-gram lemma). Shared q-grams are counted in overlapping diagonal bands, all documents of a
-batch at once; regions that reach the item's bound are verified by a banded alignment of words.
+(the q-gram lemma). Shared q-grams are counted in overlapping diagonal bands, as wide as words
+missing or put in can move the passage, all documents of a batch at once; regions that reach the item's bound are verified by a banded alignment of words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LARGEST_Q = 24
-_BAND = 64  # half the width of a band, in characters
+_BAND = 64  # least half width of a band, in characters
 _PIECE = 400_000  # characters of a text that are searched at once
 _CHUNK = 1_500_000
 _WORD_ASCII = re.compile(r"[a-z0-9]+")
@@ -101,10 +101,13 @@ class ItemIndex:
         self.groups = []
         by_q: dict[int, list[int]] = {}
         self.bound = np.ones(len(items), np.int64)
+        self.band = np.full(len(items), _BAND, np.int64)  # half widths
         for n, ws in enumerate(self.words):
             if not ws:
                 continue
             lengths = [len(w.encode()) for w in ws]
+            # Each word that is missing, or put in and no longer than the longest, moves the diagonal by its length.
+            self.band[n] = max(_BAND, int(len(ws) * _ERRORS) * max(lengths))
             kept = kept_letters(lengths)
             q = _LARGEST_Q
             while q > 1 and lemma_bound(kept, q) < min(12, q):
@@ -152,14 +155,16 @@ class ItemIndex:
             unit = np.searchsorted(starts, pos, "right") - 1
             item = owner[post]
             diagonal = pos - starts[unit] - offset[post] + self.sizes[item]  # not negative
-            span = int(diagonal.max()) // (2 * _BAND) + 2
+            half = self.band[item]
+            span = int((diagonal // (2 * half)).max()) + 2
             pair = unit * n_items + item
-            for moved in (0, _BAND):
-                key = pair * span + (diagonal + moved) // (2 * _BAND)
+            for moved in (0, 1):
+                key = pair * span + (diagonal + moved * half) // (2 * half)
                 k, c = np.unique(key, return_counts=True)
                 p = k // span
                 good = c >= self.bound[p % n_items]
-                low = (k[good] % span) * (2 * _BAND) - moved - self.sizes[p[good] % n_items]
+                of = p[good] % n_items
+                low = (k[good] % span * 2 - moved) * self.band[of] - self.sizes[of]
                 found.append(np.stack([p[good] // n_items, p[good] % n_items, low], 1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
@@ -168,7 +173,7 @@ class ItemIndex:
         own = self.words[item]
         n = len(own)
         a = int(np.searchsorted(unit_starts, low - 40))
-        b = int(np.searchsorted(unit_starts, low + 2 * _BAND + int(self.sizes[item]) + 40))
+        b = int(np.searchsorted(unit_starts, low + 2 * int(self.band[item]) + int(self.sizes[item]) + 40))
         region = _rejoin(unit_words[a:b], own)
         m = len(region)
         if not m:

@@ -100,9 +100,9 @@ def test_short_items_are_found(spark):
     assert got == {(1, 1), (3, 2)}
 
 
-def long_item(rng, n):
+def long_item(rng, n, least=2):
     letters = "abcdefghijklmnopqrstuvwxyz"
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(least, 9))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("n", [17, 18, 30, 38, 58, 78, 118])
@@ -122,6 +122,23 @@ def test_windows_beyond_half_are_found(n):
     assert {(i, i) for i in range(30)} == set(leak.search(index, texts, 1000))
 
 
+@pytest.mark.parametrize("n", [300, 600, 900, 1400])
+def test_missing_words_of_long_items_move_the_passage(n):
+    """Half and full copies, every tenth word missing or put in."""
+    rng = random.Random(n)
+    items = [long_item(rng, n, 4) for _ in range(4)]
+    texts, want = [], set()
+    for i, own in enumerate(items):
+        for part in (own[: n // 2], own):
+            missing = [w for k, w in enumerate(part) if k % 10 != 5]
+            put_in = [x for k, w in enumerate(part) for x in ([w] if k % 11 != 5 else [w, "zzqzzqzz"])]
+            for words in (missing, put_in):
+                want.add((len(texts), i))
+                texts.append(" ".join([*long_item(rng, 30, 4), *words, *long_item(rng, 30, 4)]))
+    index = leak.ItemIndex([(i, " ".join(own)) for i, own in enumerate(items)])
+    assert want == set(leak.search(index, texts, 30000))
+
+
 # --- p6 -----------------------------------------------------------------------------------------
 
 def test_duplicates(spark):

@@ -34,8 +34,10 @@ LEAST_SD = np.array([0.05, 0.07, 0.03, 0.03, 0.02, 0.12, 0.06, 0.20, 1.00, 0.50]
 #: Squared distance beyond which a segment is no prose, for plain lines and for lines that look like items or rows.
 CUTOFF, CUTOFF_MARKED = 24.0, 14.0
 _FIT_CUTOFF = 25.0
-#: Share of distinct three-word runs below which a text is one fragment again and again.
+#: Share of distinct word runs below which a text is one fragment again and again.
 REPEATED = 0.2
+_LONG_RUN = 10
+_RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 KINDS = ["prose", "list", "table", "junk"]
 _MASK: dict[str, int] = {}
 for _i, _l in enumerate(LANGUAGES):
@@ -156,8 +158,9 @@ def statistics(lines: list[str]) -> tuple[int, int, list[float]]:
 
 
 def repetition(text: str) -> float:
-    """Share of three-word runs that are distinct, as the mean over stretches of 300 words, so that it
-    does not fall with the length of a text; 1 for texts under twelve words."""
+    """Share of word runs that are distinct, so taken that it does not fall with the length of a text: of
+    three-word runs as the mean over stretches of 300 words, or of ten-word runs over the whole text,
+    which hardly come again but in copies, whichever is less; 1 for texts under twelve words."""
     t = text.split()
     n = len(t)
     if n < 12:
@@ -168,11 +171,24 @@ def repetition(text: str) -> float:
         if len(part) < 12:
             continue
         shares.append(len(set(zip(part, part[1:], part[2:]))) / (len(part) - 2))
-    return sum(shares) / len(shares)
+    near = sum(shares) / len(shares)
+    if n <= 302:
+        return near  # one stretch sees all of it
+    return min(near, _distinct_long_runs(t))
+
+
+def _distinct_long_runs(t: list[str]) -> float:
+    number: dict[str, int] = {}
+    code = np.fromiter((number.setdefault(w, len(number)) for w in t), np.uint64, len(t))
+    runs = np.zeros(len(t) - _LONG_RUN + 1, np.uint64)
+    for i in range(_LONG_RUN):
+        runs = (runs ^ code[i : i + runs.size]) * _RUN_BASE
+        runs ^= runs >> np.uint64(29)
+    return np.unique(runs).size / runs.size
 
 
 def segment_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: distinct share of three-word runs, and arrays over its segments
+    """One row per document: distinct share of word runs, and arrays over its segments
     (characters, signature, lines, language, statistics one after the other). Null, empty and blank
     texts have empty arrays."""
 
@@ -292,7 +308,7 @@ def judge(chars, sigs, lines, x, d2, counts, distinct):
     """Characters of each document by kind (columns as KINDS).
 
     A segment too short to tell (under 40 characters) goes with the segment after it, or before it
-    at the end. Text whose three-word runs repeat almost throughout is junk whatever it says.
+    at the end. Text whose word runs repeat almost throughout is junk whatever it says.
     """
     doc = np.repeat(np.arange(counts.size), counts)
     kind = np.where(d2 <= np.where(sigs == PLAIN, CUTOFF, CUTOFF_MARKED), 0, 1)

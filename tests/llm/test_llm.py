@@ -235,6 +235,29 @@ def test_quality_kinds(spark):
     assert quality.not_prose(df.limit(0)).count() == 0
 
 
+def sentences(rng, n):
+    words = [f"{a}{b}" for a in "mor ten kid sple thy ret cor lar".split() for b in "ing able ure ade one ist".split()]
+    pick = lambda: rng.choice(words)
+    return " ".join(f"The {pick()} of the {pick()} is in a {pick()} and the {pick()} was with the {pick()} before it." for _ in range(n))
+
+
+def test_far_repeats_are_seen():
+    rng = random.Random(5)
+    for size in (5, 8, 15, 30):  # sentences of the fragment: 85 to 510 words
+        fragment = sentences(rng, size)
+        assert quality.repetition(" ".join([fragment] * 100)) < quality.REPEATED
+        assert quality.repetition(fragment) > quality.REPEATED
+    assert quality.repetition(sentences(rng, 3000)) > 0.9 * quality.repetition(sentences(rng, 17))  # not less for length
+    assert quality.repetition(" ".join([sentences(rng, 30)] * 2)) > quality.REPEATED
+
+
+def test_fragment_of_sentences_is_junk(spark):
+    rng = random.Random(6)
+    docs = [(i, sentences(rng, 12)) for i in range(60)] + [(100, "\n".join([sentences(rng, 30)] * 40)), (101, sentences(rng, 1200))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text_kind for r in quality.not_prose(df).collect()} == {100: "junk"}
+
+
 def test_moments_model_is_affine_free():
     x = np.random.default_rng(1).normal(size=(500, len(quality.STATISTICS)))
     n = np.array([500.0, 0, 0, 0])

@@ -29,13 +29,13 @@ def raw_type(value: Column) -> Column:
     )
 
 
-def cells(lines: DataFrame, line_col: str, keep: list[str]) -> DataFrame:
+def cells(lines: DataFrame, line_col: str, keep: list[str], empty: bool = False) -> DataFrame:
     """keep columns plus (field_name, raw, json_type): one row for each top-level field of each
     whole record. Lines that are no JSON object (broken off, blank, null) give none; null values
-    are kept with a null type."""
+    are kept with a null type. With ``empty``, a record without fields gives a row of a null name."""
     parsed = lines.select(*keep, F.try_parse_json(F.col(line_col)).alias("_v")).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     exploded = lines.sparkSession.sql(
-        f"SELECT {', '.join('p.`' + k + '`' for k in keep)}, e.key AS field_name, e.value AS _value FROM {{p}} p, LATERAL variant_explode(p._v) e",
+        f"SELECT {', '.join('p.`' + k + '`' for k in keep)}, e.key AS field_name, e.value AS _value FROM {{p}} p, LATERAL variant_explode{'_outer' if empty else ''}(p._v) e",
         p=parsed,
     )
     return exploded.select(*keep, "field_name", raw_type(F.col("_value")).alias("json_type"), F.col("_value").cast("string").alias("raw"))
@@ -185,20 +185,86 @@ def canonical_names(changes: DataFrame, most_names: int = 10_000) -> dict[str, s
     return {x: find(x) for x in root}
 
 
-def unify(lines: DataFrame, schema: dict[str, str], names: dict[str, str], line_col: str = "line_text", keep: tuple[str, ...] = ("line_id", "file_id")) -> DataFrame:
+def _targets(events: list[tuple], schema: set[str]) -> list[tuple[str, int, int, str]]:
+    """(name, first, last, schema field) of the lives of the other names of one source. ``events`` are renames
+    (number of the file, old name, new name). A life lasts from the rename that brings a name to the one
+    that takes it; lives linked by renames form a chain, and a name stands for the schema field
+    nearest before it in its chain, else the nearest after it."""
+    chains: list[list[list]] = []
+    last, gone = {}, {}
+    for nth, old, new in sorted(events):
+        chain = last.pop(old, None)
+        if chain is None:
+            chain = [[old, gone.get(old, 0), 1 << 30]]
+            chains.append(chain)
+        chain[-1][2] = gone[old] = nth
+        if new in last:
+            last[new][-1][2] = nth
+        chain.append([new, nth, 1 << 30])
+        last[new] = chain
+    out = []
+    for chain in chains:
+        for i, (name, first, end) in enumerate(chain):
+            to = next((x[0] for x in [*chain[:i][::-1], *chain[i:]] if x[0] in schema), None)
+            if name not in schema and to:
+                out.append((name, first, end - 1, to))
+    return out
+
+
+def file_names(lines: DataFrame, changes: DataFrame, schema: dict[str, str], source: str = "study_id", file: str = "file_id", time: str = "delivered_at", line_col: str = "line_text") -> DataFrame:
+    """(file, field_name, to): the schema field that another name stands for in a file.
+
+    The renames of the file's own source decide, as far as they reach (see ``_targets``). A name without
+    any there stands for the field that all other sources agree on, unless the file has that field by
+    another name. A schema name always stands for itself, and a name that is left has no row."""
+    files = lines.groupBy(F.col(source).alias("source"), F.col(file).alias("file")).agg(F.min(time).alias("_t"))
+    w = Window.partitionBy("source").orderBy(F.col("_t").asc_nulls_first(), F.col("file").asc_nulls_first())
+    places = materialise(files.select("source", "file", F.row_number().over(w).alias("nth")), "file-places")
+    renamed = changes.filter("change_kind = 'renamed'").select(F.col(file).alias("file"), "old_name", F.col("field_name").alias("new_name"))
+    own = set(schema)
+
+    @F.udf("array<struct<field_name:string,first:int,last:int,to:string>>")
+    def targets(events):
+        return _targets([tuple(e) for e in events], own)
+
+    by_source = renamed.join(places, "file").groupBy("source").agg(F.collect_list(F.struct("nth", "old_name", "new_name")).alias("_e"))
+    spans = materialise(by_source.select("source", F.explode(targets("_e")).alias("_s")).select("source", "_s.*"), "rename-spans")
+    held = cells(lines.select(F.col(file).alias("file"), line_col), line_col, ["file"]).select("file", "field_name").distinct()
+    held = materialise(held.join(places, "file"), "file-fields")
+    other = held.filter(~F.col("field_name").isin(*own))
+    here = other.join(spans.withColumnRenamed("source", "_src"), "field_name").filter(F.col("source").eqNullSafe(F.col("_src")) & F.col("nth").between(F.col("first"), F.col("last"))).select("file", "field_name", "to").distinct()
+    here = materialise(here.groupBy("file", "field_name").agg(F.min("to").alias("to")), "own-names")
+    agreed = spans.groupBy("field_name").agg(F.min("to").alias("to"), F.max("to").alias("_b")).filter(F.col("to") == F.col("_b")).drop("_b")
+    known = spans.select("source", "field_name").distinct().withColumnRenamed("source", "_src")
+    foreign = other.join(known, F.col("source").eqNullSafe(F.col("_src")) & (other["field_name"] == known["field_name"]), "left_anti").join(agreed, "field_name").select("file", "field_name", "to")
+    there = here.select("file", "to").union(held.filter(F.col("field_name").isin(*own)).select("file", F.col("field_name").alias("to")))
+    return here.unionByName(foreign.join(there, ["file", "to"], "left_anti").select("file", "field_name", "to")).withColumnRenamed("file", file)
+
+
+def unify(lines: DataFrame, schema: dict[str, str], names: dict[str, str] | DataFrame, line_col: str = "line_text", keep: tuple[str, ...] = ("line_id", "file_id")) -> DataFrame:
     """Typed columns of ``schema`` (canonical name to Spark type) for every whole record, plus
-    failed_casts: an array of (field, json_type, raw) of values that would not cast. ``names`` maps
-    other names to canonical ones; where a record holds several, the first in name order wins."""
-    spark = lines.sparkSession
-    known = {c: c for c in schema} | {n: c for n, c in names.items() if c in schema}
-    mapping = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
-    c = cells(lines, line_col, list(keep)).withColumn("_to", mapping[F.col("field_name")])
-    c = c.filter(F.col("_to").isNotNull())
-    aggs = []
-    failed = []
+    failed_casts: an array of (field, json_type, raw) of values that would not cast, and rest: a map
+    from name to (json_type, raw) of all fields that no column was taken from. ``names`` maps other names to
+    canonical ones, for all lines or, as a table (some of ``keep``, field_name, to), for those of
+    a file; where a record holds several, the canonical one wins, then the first in name order, and
+    the others are in rest. Schema names are never mapped."""
+    c = cells(lines.withColumn("_row", F.monotonically_increasing_id()), line_col, ["_row", *keep], empty=True)
+    if isinstance(names, DataFrame):
+        c = c.join(names.withColumnRenamed("to", "_other"), [*[k for k in keep if k in names.columns], "field_name"], "left")
+    else:
+        known = {n: n for n in schema} | {n: to for n, to in names.items() if to in schema and n not in schema}
+        c = c.withColumn("_other", F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[F.col("field_name")])
+    c = c.withColumn("_to", F.when(F.col("field_name").isin(*schema), F.col("field_name")).otherwise(F.col("_other")))
+    held = {n: F.min(F.when((F.col("_to") == n) & F.col("raw").isNotNull(), F.struct((F.col("field_name") != n).alias("_o"), "field_name", "raw", "json_type"))) for n in schema}
+    spare = F.col("field_name").isNotNull() & (F.col("_to").isNull() | F.col("raw").isNotNull())
+    rows = c.groupBy("_row", *keep).agg(*[h.alias(f"_h_{n}") for n, h in held.items()], F.collect_list(F.when(spare, F.struct("field_name", "json_type", "raw"))).alias("_all"))
+    typed, failed = [], []
     for name, kind in schema.items():
-        held = F.min(F.when((F.col("_to") == name) & F.col("raw").isNotNull(), F.struct("field_name", "raw", "json_type")))
-        cast = held["raw"] if kind == "string" else held["raw"].try_cast(kind)
-        aggs.append(cast.alias(name))
-        failed.append(F.when(held["raw"].isNotNull() & cast.isNull(), F.struct(held["field_name"].alias("field"), held["json_type"].alias("json_type"), held["raw"].alias("raw"))))
-    return c.groupBy(*keep).agg(*aggs, F.array_compact(F.array(*failed)).alias("failed_casts"))
+        h = F.col(f"_h_{name}")
+        cast = h["raw"] if kind == "string" else h["raw"].try_cast(kind)
+        typed.append(cast.alias(name))
+        failed.append(F.when(h["raw"].isNotNull() & cast.isNull(), F.struct(h["field_name"].alias("field"), h["json_type"].alias("json_type"), h["raw"].alias("raw"))))
+    taken = F.array_compact(F.array(*[F.col(f"_h_{n}")["field_name"] for n in schema]))
+    left = F.array_sort(F.filter("_all", lambda x: ~F.array_contains(taken, x["field_name"])))
+    rest = F.map_from_entries(F.transform(left, lambda x: F.struct(x["field_name"], F.struct(x["json_type"].alias("json_type"), x["raw"].alias("raw")))))
+    return rows.select(*keep, *typed, F.array_compact(F.array(*failed)).alias("failed_casts"), rest.alias("rest"))

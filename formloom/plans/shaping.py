@@ -87,27 +87,21 @@ def p4_path_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
-    """All whole records in one typed table; failed_casts tells how many cells would not cast."""
+    """All whole records in one typed table; failed_casts tells how many cells would not cast, and rest
+    holds every other field."""
     lines = table(spark, root, "result_lines")
-    names = drift.canonical_names(drift.schema_changes(lines))
-    names = {n: _preferred(c, names) for n, c in names.items()}
+    names = drift.file_names(lines, drift.schema_changes(lines), RECORD_SCHEMA)
     return drift.unify(lines, RECORD_SCHEMA, names).withColumn("failed_casts", F.size("failed_casts"))
 
 
 def p4_failed_casts(spark: SparkSession, root: str) -> DataFrame:
     """Cells whose cast to the field's type failed, by field, raw type and file."""
     lines = table(spark, root, "result_lines")
-    names = drift.canonical_names(drift.schema_changes(lines))
-    names = {n: _preferred(c, names) for n, c in names.items()}
+    names = drift.file_names(lines, drift.schema_changes(lines), RECORD_SCHEMA)
     cells = drift.unify(lines, RECORD_SCHEMA, names).select("file_id", F.explode("failed_casts").alias("c"))
     return cells.groupBy("file_id", F.col("c.field").alias("field_name"), F.col("c.json_type").alias("json_type")).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def _preferred(canonical: str, names: dict[str, str]) -> str:
-    same = sorted(n for n, c in names.items() if c == canonical and n in RECORD_SCHEMA)
-    return same[0] if same else canonical
-
-
 _P4_STATS = """
 WITH l AS (SELECT file_id, CASE WHEN json_valid(line_text) THEN line_text::JSON END AS j FROM result_lines),
 o AS (SELECT file_id, j FROM l WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),

@@ -231,6 +231,24 @@ def test_unify_reports_failed_casts(spark):
     ] or [(r.qid, r.page, r.valid, len(r.failed_casts)) for r in got] == [("a", 1, True, 0), ("b", None, False, 1), (None, None, None, 0)]
 
 
+def test_unify_keeps_all_records_and_fields(spark):
+    recs = [{"qid": "a", "page": 1, "pageId": 2, "extra": [1]}, {"note": None}, {}, {"pageId": 3, "section": "s", "form": "f"}]
+    df = lines_of(spark, [(1, "A", DAY(2021, 1, 1), recs)])
+    got = drift.unify(df, {"qid": "string", "page": "bigint", "form": "string", "section": "string"}, {"pageId": "page", "section": "form"}).orderBy("line_id").collect()
+    assert [(r.qid, r.page, r.form, r.section, {k: tuple(v) for k, v in r.rest.items()}) for r in got] == [
+        ("a", 1, None, None, {"extra": ("array", "[1]"), "pageId": ("number", "2")}), (None, None, None, None, {"note": (None, None)}), (None, None, None, None, {}), (None, 3, "f", "s", {}),
+    ]
+
+
+def test_renames_hold_for_their_source_and_span(spark):
+    files = [(1, "A", {"form": 1}), (2, "A", {"frm": 1}), (3, "A", {"sect": 1}), (4, "B", {"frm": 1}), (5, "B", {"form": 1, "frm": 1}), (6, "B", {"sect": 1}), (7, "C", {"section": 1}), (8, "C", {"sect": 1})]
+    df = lines_of(spark, [(f, s, DAY(2021, f, 1), [rec]) for f, s, rec in files])
+    changes = spark.createDataFrame([(2, "frm", "renamed", "form"), (8, "sect", "renamed", "section"), (3, "sect", "renamed", "frm")], "file_id long, field_name string, change_kind string, old_name string")
+    got = {(r.file_id, r.field_name): r.to for r in drift.file_names(df, changes, {"form": "string", "section": "string"}).collect()}
+    assert got == {(2, "frm"): "form", (3, "sect"): "form", (4, "frm"): "form", (8, "sect"): "section"}
+    assert drift._targets([(2, "a", "x"), (4, "x", "b"), (6, "b", "x")], {"a", "b"}) == [("x", 2, 3, "a"), ("x", 6, (1 << 30) - 1, "b")]
+
+
 def test_canonical_names_refuse_unbounded(spark):
     df = spark.createDataFrame([("renamed", f"a{i}", f"b{i}") for i in range(5)], "change_kind string, old_name string, field_name string")
     assert drift.canonical_names(df)["b3"] == "a3"

@@ -30,7 +30,8 @@ _ESCAPES[list(b'"\\/bfnrtu')] = True
 @dataclass
 class Nodes:
     """Nodes of all valid texts. ``doc``: the text's number; ``parent``: node or -1; ``key``: start of
-    the member's key string or -1; ``start``/``end``: the byte span (content span for strings)."""
+    the member's key string or -1; ``start``/``end``: the byte span (content span for strings, from
+    bracket to bracket for objects and arrays)."""
 
     buf: np.ndarray
     doc: np.ndarray
@@ -42,9 +43,11 @@ class Nodes:
     end: np.ndarray
 
     def raw(self, start: int, end: int) -> str:
+        """The string between two quotes; half of a surrogate pair, which is no character, becomes U+FFFD."""
         piece = self.buf[start:end].tobytes()
         if b"\\" in piece:
-            return json.loads(b'"' + piece + b'"')
+            text = json.loads(b'"' + piece + b'"')
+            return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
         return piece.decode("utf-8", "replace")
 
 
@@ -154,6 +157,8 @@ def build(texts: list[bytes]) -> tuple[Nodes, np.ndarray]:
     at = np.where(filled >= 0, all_idx[o][np.maximum(filled, 0)], -1)
     parent[all_idx[o][members]] = at[members]
     parent[level == 0] = -1
+    shut = np.flatnonzero(closing & (parent >= 0))
+    end[parent[shut]] = end[shut]
 
     # Neighbour rules.
     ctx = np.where(parent >= 0, typ[np.maximum(parent, 0)], -1)
@@ -214,7 +219,8 @@ class Forest:
 
 def forest(texts: list[bytes], opaque_keys: frozenset[str] = frozenset()) -> Forest:
     """All nodes of the valid texts, in document order within a text. A string value that itself is a
-    JSON object or array takes that value's place, however deep; not so under ``opaque_keys``."""
+    JSON object or array takes that value's place, however deep; not so under ``opaque_keys``, where
+    an object or array has its JSON as written for a text."""
     parts: list[tuple[np.ndarray, ...]] = []
     pending, owner, graft = texts, np.arange(len(texts)), None
     total = 0
@@ -234,9 +240,12 @@ def forest(texts: list[bytes], opaque_keys: frozenset[str] = frozenset()) -> For
             key[i] = got
         text = np.empty(k, object)
         held = np.flatnonzero(nodes.kind >= STR)
-        for i in held:
+        whole = np.flatnonzero((nodes.kind < STR) & np.fromiter((k in opaque_keys for k in key), bool, k)) if opaque_keys else held[:0]
+        for i in np.concatenate([held, whole]):
             piece = data[nodes.start[i] : nodes.end[i]]
-            if nodes.kind[i] == STR:
+            if nodes.kind[i] < STR:
+                text[i] = piece.decode("utf-8", "replace")
+            elif nodes.kind[i] == STR:
                 text[i] = nodes.raw(nodes.start[i], nodes.end[i]) if b"\\" in piece else piece.decode("utf-8", "replace")
             else:
                 text[i] = None if piece == b"null" else piece.decode()

@@ -104,7 +104,8 @@ def flatten_options(df: DataFrame, id_col: str = "result_id", payload_col: str =
     per non-blank question_annotation, at whatever depth of the payload.
 
     Invalid, blank and null payloads give no rows; repeated payloads give rows for each id; missing
-    or null texts are ''. Numbers and booleans in place of texts come as they are written. Other
+    or null texts are ''. Numbers and booleans in place of texts come as they are written, and so do
+    objects and arrays in place of an annotation. Half of a surrogate pair becomes U+FFFD. Other
     columns of ``df`` are not read.
     """
 

@@ -75,6 +75,20 @@ def test_index_agrees_with_parser(values, rng):
     assert ok.tolist() == [fine(t) for t in texts]
 
 
+def test_half_surrogates_and_odd_annotations(spark):
+    """Half of a surrogate pair is no character; an object or array in place of an annotation comes as written."""
+    texts = [
+        r'{"annotations":[{"qid":"q1","option_annotations":{"A":"x \ud83d y","B \udc00":"z"}}]}',
+        r'{"annotations":[{"qid":"q2","question_annotation":[ "X", {"a":1} ],"option_annotations":[{"option":"O","annotation":{"k":"v"}}]}]}',
+        r'{"annotations":[{"qid":"q3","question_annotation":"\ud83d\ude00"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id long, payload string")
+    got = sorted(map(tuple, nested.flatten_options(df).collect()))
+    assert got == sorted([
+        (0, "q1", "", "A", "x \ufffd y"), (0, "q1", "", "B \ufffd", "z"), (1, "q2", "", "", '[ "X", {"a":1} ]'), (1, "q2", "", "O", '{"k":"v"}'), (2, "q3", "", "", "\U0001f600"),
+    ])
+
+
 def brute_options(rows):
     out = collections.Counter()
 

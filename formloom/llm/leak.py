@@ -4,7 +4,8 @@ Texts are reduced to their letters and digits, so case, punctuation, spacing, qu
 words do not count. A passage that holds half of an item's words with at most one word in ten
 changed must share a computable number of character q-grams with the item, all near one diagonal
 (the q-gram lemma). Shared q-grams are counted in overlapping diagonal bands, as wide as words
-missing or put in can move the passage, all documents of a batch at once; regions that reach the item's bound are verified by a banded alignment of words.
+missing or put in can move the passage, all documents of a batch at once; regions that reach the
+item's bound are verified by banded alignments of words, one for each first word a passage may have.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _CHUNK = 1_500_000
 _WORD_ASCII = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
-_SHARE, _ERRORS = 0.5, 0.1
+_ERRORS = 0.1
 
 
 def words(text: str) -> list[str]:
@@ -120,8 +121,8 @@ class ItemIndex:
                 data = np.frombuffer("".join(self.words[n]).encode(), np.uint8)
                 h = gram_hashes(data, q)
                 hashes.append(h)
-                owner.append(np.full(h.size, n, np.int64))
-                offset.append(np.arange(h.size))
+                owner.append(np.full(h.size, n, np.int32))
+                offset.append(np.arange(h.size, dtype=np.int32))
             h, owner, offset = np.concatenate(hashes), np.concatenate(owner), np.concatenate(offset)
             o = np.argsort(h, kind="stable")
             h, owner, offset = h[o], owner[o], offset[o]
@@ -169,45 +170,112 @@ class ItemIndex:
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def verify(self, unit_words: list[str], unit_starts: np.ndarray, item: int, low: int) -> bool:
-        """Whether the region of the diagonal band holds half of the item's words, one in ten changed."""
+        """Whether the region of the diagonal band holds half of the item's words, one in ten changed.
+
+        Words are aligned within the band only. Three steps, each sure: an item word without its like
+        in its stretch of the band is an error in any alignment, so too many of them rule the region
+        out; an alignment of the whole item that has a good window rules it in; else every first word
+        of a window gets its own alignment."""
         own = self.words[item]
-        n = len(own)
+        reach = 2 * int(self.band[item])
         a = int(np.searchsorted(unit_starts, low - 40))
-        b = int(np.searchsorted(unit_starts, low + 2 * int(self.band[item]) + int(self.sizes[item]) + 40))
+        b = int(np.searchsorted(unit_starts, low + reach + int(self.sizes[item]) + 40))
         region = _rejoin(unit_words[a:b], own)
-        m = len(region)
-        if not m:
+        if not region:
             return False
         code = {w: i for i, w in enumerate(dict.fromkeys(own))}
         mine = np.asarray([code[w] for w in own])
         theirs = np.asarray([code.get(w, -1) for w in region])
-        # Semi-global edit distance, a row for each item word; the region's ends are free.
-        cost = np.zeros((n + 1, m + 1), np.int32)
-        cols = np.arange(m + 1)
-        for i in range(1, n + 1):
-            row = cost[i - 1] + 1
-            row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + (theirs != mine[i - 1]))
-            cost[i] = np.minimum.accumulate(row - cols) + cols
-        hit = np.zeros(n, bool)
-        extra = np.zeros(n, np.int64)
-        i, j = n, int(cost[n].argmin())
-        while i and j:
-            if theirs[j - 1] == mine[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
-                hit[i - 1] = True
-                i, j = i - 1, j - 1
-            elif cost[i, j] == cost[i - 1, j - 1] + 1:
-                i, j = i - 1, j - 1
-            elif cost[i, j] == cost[i - 1, j] + 1:
-                i -= 1
-            else:
-                j -= 1
-                extra[i - 1 if i else 0] += 1
-        half = -(-n // 2)
-        wrong = np.concatenate([[0], np.cumsum(~hit + extra)])
-        for size in range(half, n + 1):
-            if (wrong[size:] - wrong[:-size]).min() <= int(size * _ERRORS):
+        begin = int(unit_starts[a]) - low
+        offset = np.cumsum([0] + [len(w.encode()) for w in own])[:-1]
+        place = begin + np.cumsum([0] + [len(w.encode()) for w in region])[:-1]
+        first = np.searchsorted(place, offset - 40)  # the band's first word for each word of the item
+        last = np.maximum(np.searchsorted(place, offset + reach + 40, "right"), first)
+        first, width = np.minimum(first, theirs.size), int((last - first).max())
+        if not width:
+            return False
+        band = np.concatenate([theirs, np.full(width, -2)])[first[:, None] + np.arange(width)]
+        band[np.arange(width) >= (last - first)[:, None]] = -2
+        unlike = band != mine[:, None]
+        half = -(-mine.size // 2)
+        if not _window(unlike.all(1), half):
+            return False
+        return _window(_whole_alignment(unlike, first), half) or _any_window(unlike, first, half)
+
+
+_FAR = 1 << 20
+
+
+def _window(wrong: np.ndarray, half: int) -> bool:
+    """Whether some ``half`` or more words in turn have at most one error in ten; ``wrong`` counts errors a word."""
+    gain = np.concatenate([[0], np.cumsum(1 - 10 * wrong.astype(np.int64))])
+    return bool((gain[half:] >= np.minimum.accumulate(gain[: gain.size - half])).any())
+
+
+def _next_row(row: np.ndarray, unlike: np.ndarray, shift: int) -> np.ndarray:
+    """Costs at the ends of the band's words after one more item word. ``row`` has the costs before the
+    words of the last band, then after its last word; bands move right by ``shift``. The last axis is the band."""
+    width = unlike.size
+    moved = np.full(row.shape, _FAR, row.dtype)
+    if shift <= width:
+        moved[..., : width + 1 - shift] = row[..., shift:]
+    out = moved + 1  # the item word is missing
+    out[..., 1:] = np.minimum(out[..., 1:], moved[..., :-1] + unlike)
+    steps = np.arange(width + 1)
+    return np.minimum.accumulate(out - steps, -1) + steps  # words put in
+
+
+def _whole_alignment(unlike: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Errors of each item word in a cheapest alignment of the whole item within the band, the ends of
+    the region being free; words put in count for the item word before them."""
+    n, width = unlike.shape
+    rows = [np.zeros(width + 1, np.int32)]
+    shifts = np.diff(first, prepend=first[0])
+    for i in range(n):
+        rows.append(_next_row(rows[-1], unlike[i], int(shifts[i])))
+    wrong = np.zeros(n, np.int64)
+    i, j = n, int(rows[n].argmin())
+    while i:
+        cost, back = rows[i][j], j + int(shifts[i - 1])
+        above = rows[i - 1]
+        if j and back - 1 <= width and cost == above[back - 1] + unlike[i - 1, j - 1]:
+            wrong[i - 1] += int(unlike[i - 1, j - 1])
+            i, j = i - 1, back - 1
+        elif back <= width and cost == above[back] + 1:
+            wrong[i - 1] += 1
+            i, j = i - 1, back
+        elif j:
+            wrong[i - 1] += 1
+            j -= 1
+        else:  # pushed out of the band
+            wrong[:i] += 1
+            break
+    return wrong
+
+
+def _any_window(unlike: np.ndarray, first: np.ndarray, half: int, cells: int = 4_000_000) -> bool:
+    """Whether any window of at least ``half`` item words aligns within the band at one error in ten. The
+    first words of windows that words without their like do not rule out are aligned side by side,
+    some at a time, each up to the last word that could end its window."""
+    n, width = unlike.shape
+    shifts = np.diff(first, prepend=first[0])
+    gain = np.concatenate([[0], np.cumsum(1 - 10 * unlike.all(1).astype(np.int64))])
+    best = np.maximum.accumulate(gain[::-1])[::-1]  # from each word on
+    starts = np.flatnonzero(best[half:] >= gain[: n + 1 - half])
+    block = max(1, cells // (width + 1))
+    for at in range(0, starts.size, block):
+        own = starts[at : at + block]
+        stop = int(np.flatnonzero(gain >= gain[own].min())[-1])
+        cost = np.full((own.size, width + 1), _FAR, np.int32)
+        for i in range(int(own[0]), stop):
+            cost = _next_row(cost, unlike[i], int(shifts[i]))
+            new = own == i
+            if new.any():  # a window may begin at any word of the band
+                cost[new] = _next_row(np.zeros(width + 1, np.int32), unlike[i], 0)
+            sizes = i + 1 - own
+            if (10 * cost.min(1) <= sizes)[sizes >= half].any():
                 return True
-        return False
+    return False
 
 
 def _rejoin(region: list[str], own: list[str]) -> list[str]:

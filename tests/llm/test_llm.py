@@ -122,6 +122,34 @@ def test_windows_beyond_half_are_found(n):
     assert {(i, i) for i in range(30)} == set(leak.search(index, texts, 1000))
 
 
+def passages(rng, own):
+    """Passages of half, the next ten beyond half, and all words, with one word in ten changed, missing or put in."""
+    n = len(own)
+    half = -(-n // 2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    for size in {half, min(n, half + -half % 10), n}:
+        for what in ("changed", "missing", "put in"):
+            at = rng.randint(0, n - size)
+            part = own[at : at + size]
+            for k in sorted(rng.sample(range(1, size - 1), size // 10), reverse=True):
+                part[k : k + (what != "put in")] = [] if what == "missing" else [word()]
+            yield " ".join([*long_item(rng, 30), *part, *long_item(rng, 30)])
+
+
+@pytest.mark.parametrize("n,count", [(12, 20), (38, 20), (58, 20), (98, 20), (400, 3), (800, 2), (1500, 1)])
+def test_passages_at_the_limit_are_found(n, count):
+    rng = random.Random(n)
+    items = [long_item(rng, n) for _ in range(count)]
+    texts, owner = [], []
+    for i, own in enumerate(items):
+        made = list(passages(rng, own))
+        texts += made
+        owner += [i] * len(made)
+    got = set(leak.search(leak.ItemIndex([(i, " ".join(own)) for i, own in enumerate(items)]), texts, 30 * n + 1000))
+    assert sum(pair in got for pair in enumerate(owner)) >= 0.99 * len(texts)
+    assert all(owner[doc] == item for doc, item in got)
+
+
 @pytest.mark.parametrize("n", [300, 600, 900, 1400])
 def test_missing_words_of_long_items_move_the_passage(n):
     """Half and full copies, every tenth word missing or put in."""

@@ -286,13 +286,56 @@ def test_fragment_of_sentences_is_junk(spark):
     assert {r.doc_id: r.text_kind for r in quality.not_prose(df).collect()} == {100: "junk"}
 
 
-def test_moments_model_is_affine_free():
-    x = np.random.default_rng(1).normal(size=(500, len(quality.STATISTICS)))
-    n = np.array([500.0, 0, 0, 0])
-    s, ss = np.zeros((4, x.shape[1])), np.zeros((4, x.shape[1], x.shape[1]))
-    s[0], ss[0] = x.sum(0), x.T @ x
-    m = quality.Model.of_moments(n, s, ss)
-    assert np.allclose(m.mean[0], x.mean(0)) and np.allclose(m.mean[1], x.mean(0))
+def test_few_rows_are_drawn_to_the_prior():
+    p = len(quality.STATISTICS)
+    x = np.random.default_rng(1).normal(size=(500_000, p))
+    n = np.zeros(quality.OTHER + 1)
+    s, ss = np.zeros((n.size, p)), np.zeros((n.size, p, p))
+    n[0], s[0], ss[0] = len(x), x.sum(0), x.T @ x
+    typical, least = np.full(p, 9.0), np.full(p, 0.1)
+    m = quality.Model.of_moments(n, s, ss, typical, least, least)
+    assert np.allclose(m.mean[0], x.mean(0), atol=0.01) and np.allclose(m.mean[1], m.mean[0], atol=0.01) and np.allclose(m.mean[quality.OTHER], typical)
+    none = quality.Model.of_moments(n * 0, s * 0, ss * 0, typical, least, least)
+    assert np.allclose(none.mean, typical) and np.allclose(none.inverse[0], np.eye(p) * 100)
+
+
+FOREIGN = {
+    "it": "La revisione del protocollo è stata completata dal comitato nel mese di marzo. I pazienti devono firmare il consenso prima di ogni visita. Il medico controlla la data e la pressione, poi compila il modulo e lo invia al centro di raccolta dei dati.",
+    "pl": "Komisja zakończyła przegląd protokołu w marcu. Pacjenci muszą podpisać zgodę przed każdą wizytą. Lekarz sprawdza datę i ciśnienie pacjenta, a następnie wypełnia formularz i wysyła go do ośrodka. Jeżeli wartość nie jest podana, należy wykonać nowy pomiar.",
+    "sv": "Kommittén avslutade granskningen av protokollet i mars. Patienterna måste skriva under samtycket före varje besök. Läkaren kontrollerar datumet och blodtrycket, fyller i formuläret och skickar det till centret. Om värdet saknas ska en ny mätning göras.",
+    "ru": "Комиссия завершила проверку протокола в марте. Пациенты должны подписать согласие перед каждым визитом. Врач проверяет дату и давление пациента, затем заполняет форму и отправляет её в центр. Если значение не указано, нужно сделать новое измерение.",
+    "zh": "委员会在三月份完成了方案的审查。患者在每次访视之前必须签署知情同意书。医生检查日期和血压，然后填写表格并将其发送到中心。如果没有数值，则需要重新测量，并将结果写在卡片上。",
+    "ar": "أكملت اللجنة مراجعة البروتوكول في شهر مارس. يجب على المرضى توقيع الموافقة قبل كل زيارة. يتحقق الطبيب من التاريخ وضغط الدم ثم يملأ النموذج ويرسله إلى المركز. إذا لم تكن القيمة موجودة فيجب إجراء قياس جديد.",
+    "fi": "Toimikunta sai tutkimussuunnitelman tarkastuksen valmiiksi maaliskuussa. Potilaiden on allekirjoitettava suostumus ennen jokaista käyntiä. Lääkäri tarkistaa päivämäärän ja verenpaineen, täyttää lomakkeen ja lähettää sen keskukseen. Jos arvo puuttuu, on tehtävä uusi mittaus.",
+    "ja": "委員会は三月に計画書の審査を終えました。患者は毎回の来院の前に同意書に署名しなければなりません。医師は日付と血圧を確認し、用紙に記入してセンターに送ります。",
+}
+
+
+def test_prose_of_other_languages(spark):
+    """Prose of languages without a model of their own, in one paragraph or broken into lines, beside their lists and tables."""
+    rng = random.Random(8)
+    docs = [(i, sentences(rng, 12)) for i in range(60)]
+    fold = lambda t: "\n".join(t[k : k + 90] for k in range(0, len(t), 90))
+    prose = {100 + i: t for i, t in enumerate(FOREIGN.values())} | {200 + i: fold(t) for i, t in enumerate(FOREIGN.values())}
+    lists = {300: "\n".join(f"- {w}" for w in FOREIGN["it"].split() * 2), 301: "\n".join("modulo paziente visita centro".split() * 20), 302: "\n".join("Пациент|дата|форма|3" for _ in range(12))}
+    df = spark.createDataFrame(docs + list(prose.items()) + list(lists.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text_kind for r in quality.not_prose(df).collect()}
+    assert set(got) == set(lists) and got[300] == "list" and got[302] in ("table", "junk")
+
+
+def test_document_statistics(spark):
+    rng = random.Random(9)
+    text = "The first line is a sentence.\nHere ( are 3 signs !\n\nno end"
+    df = spark.createDataFrame([(i, sentences(rng, 12)) for i in range(60)] + [(100, text), (101, None), (102, "...")], "doc_id long, text string")
+    r = {x.doc_id: x for x in quality.quality(df).collect()}
+    x = r[100]
+    assert (x.word_count, x.language) == (11, "en")
+    assert abs(x.mean_word_length - 40 / 11) < 1e-9 and abs(x.line_ends - 2 / 3) < 1e-9 and abs(x.words_a_line - 11 / 3) < 1e-9
+    assert abs(x.symbol_ratio - 3 / 57) < 1e-9 and abs(x.common_words - 4 / 11) < 1e-9 and abs(x.digit_ratio - 1 / 57) < 1e-9
+    for row in r.values():
+        assert abs(sum(row.contributions) - row.distance) < 1e-6 * max(1, row.distance)
+    assert r[101].text_kind == "empty" and r[101].word_count == 0 and r[101].language is None
+    assert r[100].distance > r[0].distance
 
 
 def test_registered():

@@ -118,6 +118,32 @@ FROM r GROUP BY file_id, field_name
 """
 
 
+def packed_sql(field: str) -> str:
+    """The values packed in a text, as a list. Delimiters of quoted spans stand as private-use characters
+    meanwhile. Letters take apostrophes right after them along, so those open no span."""
+    hidden, signs = "chr(57345)||chr(57346)||chr(57347)||chr(57348)||chr(57349)||chr(57350)||chr(57351)", "',;|/'||chr(9)||chr(13)||chr(10)"
+    double, curly = '"[^"]*(?:""[^"]*)*"', "“[^”]*”"
+    single = r"'(?:[^']*[\p{L}\p{N}]'[\p{L}\p{N}]|[^']*'')*[^']*'".replace("'", "''")
+    span = f"{double}|{curly}|{single}"
+    token = span + r"|[\p{L}\p{N}]+''*|[\s\S]"
+    pieces = f"list_transform(regexp_extract_all(coalesce({field}, ''), '{token}'), lambda x: CASE WHEN regexp_full_match(x, '{span}') THEN translate(x, {signs}, {hidden}) ELSE x END)"
+    slashed = f"array_to_string({pieces}, '')"
+    for _ in range(2):
+        slashed = rf"regexp_replace({slashed}, '(^|\s)/(\s|$)', '\1;\2', 'g')"
+    trim = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+    parts = rf"list_transform(string_split_regex({slashed}, '[,;|\t\r\n\x0b\f]'), lambda x: {trim.format('x')})"
+    inner = "x[2:-2]"
+    bare = f"""list_transform({parts}, lambda x: CASE WHEN regexp_full_match(x, '{double}') THEN replace({inner}, '""', '"')
+      WHEN regexp_full_match(x, '{single}') THEN replace({inner}, '''''', '''') WHEN regexp_full_match(x, '{curly}') THEN {inner} ELSE x END)"""
+    return f"list_filter(list_transform({bare}, lambda x: {trim.format(f'translate(x, {hidden}, {signs})')}), lambda x: x <> '')"
+
+
+_P5 = " UNION ALL ".join(
+    f"SELECT row_id, '{f}' AS field_name, CAST(generate_subscripts(v, 1) AS INTEGER) AS pos, unnest(v) AS part_value FROM (SELECT row_id, {packed_sql(f)} AS v FROM page_annotations) WHERE len(v) >= 2"
+    for f in ("annotation", "option_annotations")
+)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Each value of the packed annotation fields, with its position."""
     return packed.explode_packed(spread(table(spark, root, "page_annotations").select("row_id", "annotation", "option_annotations")), "row_id", ["annotation", "option_annotations"])
@@ -139,4 +165,5 @@ ORACLES = {
     "p2_orphan_counts": _P2
     + "SELECT table_name, field_name, reason, ref_month, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY ALL",
     "p4_path_stats": _P4_STATS,
+    "p5_found": _P5,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom.catalog import spread, table
 from formloom.llm import dedup, entries, leak, quality, tokenizer
+from formloom.plans.shaping import packed_sql
 
 
 def _texts(spark: SparkSession, root: str) -> DataFrame:
@@ -23,13 +24,22 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    """Records of a study that differ in formatting only; batches are the years of arrival."""
-    return dedup.duplicate_members(_records(spark, root), batch=F.date_format("loaded_at", "yyyy"))
+    """Records of a study that differ in formatting only; the newest month comes to a ledger of all before."""
+    records = _records(spark, root)
+    return dedup.duplicate_members(records, batch=dedup.latest_delivery(records, "loaded_at"))
 
 
 def p6_copies(spark: SparkSession, root: str) -> DataFrame:
     """Each distinct record with its number of copies."""
-    return dedup.duplicate_counts(_records(spark, root), batch=F.date_format("loaded_at", "yyyy"))
+    records = _records(spark, root)
+    return dedup.duplicate_counts(records, batch=dedup.latest_delivery(records, "loaded_at"))
+
+
+_LETTERS = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g')"
+_P6_KEYS = f"""WITH k AS (SELECT row_id, study_id, {_LETTERS.format("text")} AS t,
+  list_sort(list_filter(list_transform({packed_sql("annotation")}, lambda y: {_LETTERS.format("y")}), lambda y: y <> '')) AS a FROM page_annotations WHERE regexp_matches(text, '\\S')),
+g AS (SELECT study_id, t, a, min(row_id) AS first_id, count(*) AS n_copies FROM k GROUP BY ALL)
+"""
 
 
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -62,5 +72,8 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_quality": p9_quality,
 }
-# Fuzzy matching, canonical keys, BPE, alignments and robust fits have no SQL; tests compare them with brute force.
-ORACLES: dict[str, str] = {}
+# Fuzzy matching, BPE, alignments and robust fits have no SQL; tests compare them with brute force.
+ORACLES: dict[str, str] = {
+    "p6_found": _P6_KEYS + "SELECT first_id, row_id AS copy_id FROM k JOIN g ON k.study_id IS NOT DISTINCT FROM g.study_id AND k.t = g.t AND k.a = g.a WHERE row_id <> first_id",
+    "p6_copies": _P6_KEYS + "SELECT study_id, first_id, n_copies FROM g",
+}

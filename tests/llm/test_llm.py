@@ -184,17 +184,41 @@ def test_duplicates(spark):
     assert dedup.duplicate_members(df.limit(0)).count() == 0
 
 
-def test_ledger_keeps_earliest_over_batches(spark):
-    ledger = dedup.Ledger(spark, n_buckets=2)
-    ledger.update(spark.createDataFrame([(5, "s", "k1"), (6, "s", "k1"), (7, "s", "k2")], "id long, grp string, key string"))
-    ledger.update(spark.createDataFrame([(2, "s", "k1"), (9, "s", "k3")], "id long, grp string, key string"))
-    ledger.update(spark.createDataFrame([], "id long, grp string, key string"))
-    assert {(r.key, r.n, r.first_id) for r in ledger.rows().collect()} == {("k1", 3, 2), ("k2", 1, 7), ("k3", 1, 9)}
+KEYS = "id long, grp string, key binary"
+
 
+def rows_of(*keys):
+    return [(i, "s", k.encode()) for i, k in keys]
 
-def test_more_batches_than_allowed_lose_nothing(spark):
-    df = spark.createDataFrame([(i, "s", f"k{i % 3}", i) for i in range(12)], "id long, grp string, key string, batch int")
-    assert sorted((r.key, r.n, r.first_id) for r in dedup.collapse(df, most_batches=3).rows().collect()) == [("k0", 4, 0), ("k1", 4, 1), ("k2", 4, 2)]
+
+def test_ledger_keeps_earliest_over_batches(spark):
+    ledger = dedup.Ledger(spark, dedup.scratch_path(spark, "ledger"), n_buckets=2)
+    ledger.update(spark.createDataFrame(rows_of((5, "k1"), (6, "k1"), (7, "k2")), KEYS))
+    ledger.update(spark.createDataFrame(rows_of((2, "k1"), (9, "k3")), KEYS))
+    assert ledger.update(spark.createDataFrame([], KEYS)) == []
+    assert {(bytes(r.key), r.n, r.first_id) for r in ledger.rows().collect()} == {(b"k1", 3, 2), (b"k2", 1, 7), (b"k3", 1, 9)}
+    assert ledger.n_rows() == 5
+
+
+def test_opened_ledger_touches_only_the_buckets_of_a_batch(spark):
+    base = dedup.scratch_path(spark, "ledger")
+    made = dedup.Ledger.create(spark, base, rows_expected=64, rows_a_bucket=4)
+    made.update(spark.createDataFrame(rows_of(*[(i, f"k{i % 40}") for i in range(80)]), KEYS))
+    before = dict(made.at)
+    again = dedup.Ledger.open(spark, base)
+    assert again.at == before and again.n_buckets == made.n_buckets and len(before) > 3
+    touched = again.update(spark.createDataFrame(rows_of((-1, "k7"), (500, "new")), KEYS))
+    assert len(touched) <= 2
+    assert {b: x for b, x in again.at.items() if b not in touched} == {b: x for b, x in before.items() if b not in touched}
+    files = again.read(touched).inputFiles()
+    assert files and all(f"bucket={b}/" in "".join(files) for b in touched) and not any(f"bucket={b}/" in f for f in files for b in before if b not in touched)
+    got = {bytes(r.key).decode(): (r.n, r.first_id) for r in dedup.Ledger.open(spark, base).rows().collect()}
+    assert got == {f"k{i}": (2, i) for i in range(40) if i != 7} | {"k7": (3, -1), "new": (1, 500)}
+
+
+def test_every_batch_is_taken(spark):
+    df = spark.createDataFrame([(i, "s", f"k{i % 3}".encode(), i) for i in range(6)], KEYS + ", batch int")
+    assert sorted((bytes(r.key), r.n, r.first_id) for r in dedup.collapse(df).rows().collect()) == [(b"k0", 2, 0), (b"k1", 2, 1), (b"k2", 2, 2)]
 
 
 # --- p3 -----------------------------------------------------------------------------------------

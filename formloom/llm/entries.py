@@ -1,14 +1,21 @@
 """Hand-typed values mapped to the closest entry of a reference list.
 
-Typed values are deduplicated and normalised and compared with every wording of their scope: pairs
-whose lengths and plain edit distances allow it pass an edit check. Those that pass are scored by the
-cosine of idf-weighted character n-grams, from an inverted index over every wording of every entry,
-and a value is accepted if its best entry is clear of the second entry by a margin.
+Typed values are deduplicated and normalised. An inverted index of character n-grams over every
+wording of every entry gives the candidates of a value's scope, scored by idf-weighted cosine; the best
+one above a threshold whose wording typing errors can explain is accepted if it is clear of the next
+entry by a margin. The index goes out in blocks of bounded size; values stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators.skew import split_join
@@ -26,6 +33,11 @@ def _fold(c: Column) -> Column:
     return F.translate(c, "01i5", "olls")  # fixed values: characters typed for one another
 
 
+def _python_compact(text: str) -> str:
+    """``compact`` of a Python string."""
+    return re.sub(r"[\W_]", "", text.lower()).translate(str.maketrans("01i5", "olls"))
+
+
 def _typed_words(c: Column) -> Column:
     """Words of a typed value; a full stop right after a word stays, as it may cut the word short."""
     return F.regexp_extract_all(_fold(F.lower(c)), F.lit(r"[\p{L}\p{N}]+[.]?"), F.lit(0))
@@ -62,145 +74,244 @@ def wordings(entries: DataFrame) -> DataFrame:
     )
 
 
-def grams(c: Column) -> Column:
-    """Distinct 2- and 3-grams of the text with a border mark at either end; of one character, 2-grams."""
-    padded = F.concat(F.lit("^"), c, F.lit("$"))
-    def of(n: int) -> Column:
-        last = F.length(padded) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(2), of(3)))
-
-
-def _edits(a: Column, b: Column) -> Column:
-    """Edit distance with a swap of letters as one edit: what the letters, in whatever order, do not
-    account for are swaps, which plain edit distance counts twice."""
-    d = F.levenshtein(a, b)
-    count = lambda text, ch: F.length(text) - F.length(F.replace(text, ch, F.lit("")))
-    common = F.aggregate(F.array_distinct(F.filter(F.split(a, ""), lambda ch: ch != "")), F.lit(0), lambda n, ch: n + F.least(count(a, ch), count(b, ch)))
-    unordered = F.greatest(F.length(a), F.length(b)) - common
-    return F.when(d <= 1, d).otherwise(d - F.greatest(F.floor((d - unordered) / 2), F.lit(0)).cast("int"))
-
-
-def _word_edits(typed: Column, spaced: Column) -> Column:
-    """Summed edits of the words taken in turn; null unless both have as many words and each word is
-    within its budget: none up to two letters, one up to seven, two beyond. A word cut short by a
-    full stop after two or more letters costs nothing."""
-    def one(t: Column, w: Column) -> Column:
-        bare = F.regexp_replace(t, "[.]$", "")
-        cut = t.endswith(".") & (F.length(t) >= 3) & w.startswith(bare)
-        cost = F.when(cut, 0).otherwise(_edits(bare, w))
-        n = F.greatest(F.length(bare), F.length(w))
-        return F.when(cost <= F.when(n <= 2, 0).when(n <= 7, 1).otherwise(2), cost).otherwise(1000)
-    words_of = F.split(spaced, " ")
-    total = F.aggregate(F.zip_with(typed, words_of, one), F.lit(0), lambda x, y: x + y)
-    return F.when((F.size(typed) == F.size(words_of)) & (F.size(typed) > 1), F.when(total < 1000, total))
-
-
-def _may_pass(value: Column, form: Column, bare: Column, cut: Column, parts: Column) -> Column:
-    """Whether a pair can pass the edit check at all, told cheaply. ``_edits`` is at least the difference
-    of the lengths and half the plain edit distance, so 3 edits are out of reach of a pair beyond 3 and
-    6, and the 2 edits of a word out of reach of words beyond 2 and 4."""
-    near = lambda a, b, n: F.when(F.abs(F.length(a) - F.length(b)) <= n, F.levenshtein(a, b, 2 * n) >= 0).otherwise(False)
-    words_near = F.forall(F.arrays_zip(bare.alias("b"), cut.alias("c"), parts.alias("p")), lambda x: F.when(x["c"] & x["p"].startswith(x["b"]), True).otherwise(near(x["b"], x["p"], 2)))
-    return F.when(near(value, form, 3), True).when((F.size(parts) > 1) & (F.size(bare) == F.size(parts)), words_near).otherwise(False)
-
-
-def map_values(
-    values: DataFrame,
-    entries: DataFrame,
-    least_cosine: float = 0.2,
-    margin: float = 0.02,
-    most_broadcast_rows: int = 2_000_000,
-    salts: int = 16,
-) -> DataFrame:
+def grams(form: str, starts: list[str]) -> set[str]:
+    """Character 2- and 3-grams of a form with a border mark at either end, and the first one and two
+    characters of each word, which are all that cut words leave."""
+    padded = f"^{form}$"
+    out = {padded[i : i + 2] for i in range(len(padded) - 1)}
+    out.update([padded[i : i + 3] for i in range(len(padded) - 2)])
+    for w in starts:
+        out.add("_" + w[:1])
+        out.add("_" + w[:2])
+    return out
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance with a swap of neighbours as one edit; ``most`` + 1 where it is beyond ``most``."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most or not most:
+        return most + 1
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, before[j - 2] + 1)
+            new.append(cost)
+        if min(new) > most:
+            return most + 1
+        before, row = row, new
+    return min(row[-1], most + 1)
+
+
+def check(form: str, typed: list[str], wording: str, parts: list[str], strict: bool) -> int | None:
+    """Edits between a typed value and a wording, or None where they are beyond what typing errors explain:
+    one up to seven letters, two beyond, three from fifteen on where words run together; else, word by
+    word, none up to two letters, one up to seven, two beyond, a word cut short by a full stop after
+    two or more letters being free. Strict wordings allow none."""
+    if form == wording:
+        return 0
+    if strict:
+        return None
+    longest = max(len(form), len(wording))
+    budget = 1 if longest <= 7 else 3 if longest >= 15 and len(typed) != len(parts) else 2
+    got = edits(form, wording, budget)
+    found = got if got <= budget else None
+    if len(typed) == len(parts) > 1:
+        total = 0
+        for t, w in zip(typed, parts):
+            bare = t.rstrip(".")
+            if t.endswith(".") and len(t) >= 3 and w.startswith(bare):
+                continue
+            n = max(len(bare), len(w))
+            most = 0 if n <= 2 else 1 if n <= 7 else 2
+            got = edits(bare, w, most)
+            if got > most:
+                return found
+            total += got
+        found = total if found is None else min(found, total)
+    return found
+
+
+class ScopeIndex:
+    """Inverted index of the wordings of one scope (or of a part of it): ``rows`` are (canonical, form,
+    spaced, strict); ``weights`` the squared idf of its grams, and ``rare`` that of any other."""
+
+    def __init__(self, rows: list[tuple], weights: dict[str, float], rare: float):
+        self.rows = [(c, f, s.split(" "), strict) for c, f, s, strict in rows]
+        self.weights, self.rare = weights, rare
+        self.exact: dict[str, list[int]] = {}
+        post: dict[str, list[int]] = {}
+        norm = np.zeros(len(rows))
+        for i, (_, form, parts, _) in enumerate(self.rows):
+            self.exact.setdefault(form, []).append(i)
+            own = grams(form, parts)
+            norm[i] = sum([weights[g] for g in own])
+            for g in own:
+                post.setdefault(g, []).append(i)
+        self.norm = np.sqrt(norm)
+        self.post = {g: np.asarray(ids, np.int32) for g, ids in post.items()}
+
+    def best(self, form: str, typed: list[str], least_cosine: float, margin: float) -> list[tuple[str, int, float]]:
+        """(canonical, edits, cosine) of the entry of the highest cosine whose wording passes the check, and,
+        if one is within ``margin`` of it, of the next entry that passes."""
+        score = np.zeros(len(self.rows))
+        mine = 0.0
+        for g in grams(form, [t.rstrip(".") for t in typed]):
+            w = self.weights.get(g)
+            mine += self.rare if w is None else w
+            ids = self.post.get(g)
+            if ids is not None:
+                score[ids] += w
+        score /= self.norm * (mine**0.5)
+        near = np.flatnonzero(score >= least_cosine)
+        near = near[np.argsort(-score[near], kind="stable")]
+        found: list[tuple[str, int, float]] = []
+        for i in near.tolist():
+            cosine = float(score[i])
+            if found and cosine < found[0][2] - margin:
+                break
+            canonical, wording, parts, strict = self.rows[i]
+            if found and canonical == found[0][0]:
+                continue
+            got = check(form, typed, wording, parts, strict)
+            if got is not None:
+                found.append((canonical, got, cosine))
+                if len(found) == 2:
+                    break
+        return found
+
+
+def _weights(counts: dict[str, int], n: int) -> tuple[dict[str, float], float]:
+    """Squared idf of grams by the number of wordings that hold them, and of a gram that none holds, which
+    weighs as one that a single wording holds."""
+    return {g: float(np.log(1 + n / c) ** 2) for g, c in counts.items()}, float(np.log(1 + n) ** 2)
+
+
+def _blocks(forms: DataFrame, block_chars: int):
+    """Parts of the dictionary of about ``block_chars`` characters: lists of (field_name, scope, rows, weights, rare).
+    Scopes larger than a block are cut, and each part has the weights of the whole scope, whose number
+    is that of its distinct 2- and 3-grams."""
+    cols = ["field_name", "scope", "canonical", "form", "spaced", "strict"]
+    held: list[tuple] = []
+    block, size = [], 0
+
+    def counted(rows):
+        counts: Counter[str] = Counter()
+        for r in rows:
+            counts.update(grams(r["form"], r["spaced"].split(" ")))
+        return counts
+
+    key, part, chars, seen, n, cut = None, [], 0, Counter(), 0, None
+
+    def close(last: bool):
+        nonlocal block, size, part, chars
+        if part:
+            w, rare = _weights(counted(part), len(part)) if cut is None else cut
+            block.append((*key, [tuple(r[c] for c in cols[2:]) for r in part], w, rare))
+            size += chars
+        part, chars = [], 0
+
+    for r in forms.select(cols).orderBy(*cols).toLocalIterator(prefetchPartitions=True):
+        if (r.field_name, r.scope) != key:
+            close(True)
+            key, cut = (r.field_name, r.scope), None
+            if size >= block_chars:
+                yield block
+                block, size = [], 0
+        part.append(r)
+        chars += len(r.form)
+        if chars >= block_chars:
+            if cut is None:  # larger than a block: weights come from the whole scope
+                whole = forms.filter(F.col("field_name").eqNullSafe(F.lit(key[0])) & F.col("scope").eqNullSafe(F.lit(key[1])))
+                counts, n = Counter(), 0
+                for x in whole.select("form", "spaced").toLocalIterator():
+                    counts.update(grams(x.form, x.spaced.split(" ")))
+                    n += 1
+                cut = _weights(counts, n)
+            close(False)
+            yield block
+            block, size = [], 0
+    close(True)
+    if block:
+        yield block
+
+
+_INDEX: dict[str, dict] = {}  # of a worker; by block
+
+
+def _bare(form: str, prefix: str) -> str:
+    return form[len(prefix) :] if form.startswith(prefix) and len(form) > len(prefix) + 2 else form
+
+
+def map_values(values: DataFrame, entries: DataFrame, least_cosine: float = 0.12, margin: float = 0.02, block_chars: int = 4_000_000) -> DataFrame:
     """(field_name, scope, value, canonical, edits, cosine) for each distinct (field_name, scope, value).
 
-    A value is compared with entries of its own field and scope only. It takes the entry with the
-    fewest edits, then the highest cosine, if each word is within its budget (see ``_word_edits``) or
-    the whole is within 1 edit up to seven letters and 2 beyond (3 from fifteen on, where words
-    run together), and no other entry has as few edits with a cosine within ``margin``; else it
-    is '[UNMATCHED]'. A value that is exactly a wording known in other scopes of its field only
-    is unmatched, as something else is meant. Values without letters or digits, and values whose
-    scope has no entries, are unmatched. Null values must be left out by the caller.
-    No pair is left out before the edit check. ``least_cosine`` holds only for pairs of at most two
-    letters that are not equal, as one edit leaves next to nothing of them.
+    A value is compared with entries of its own field and scope only. Candidates come from the inverted
+    index; those of a cosine of ``least_cosine`` or more are taken from the best on, and the first
+    whose wording passes ``check`` is accepted, unless another entry that passes is within ``margin``.
+    Else the value is '[UNMATCHED]'. A value that is exactly a wording known in other scopes of its
+    field only, and no exact wording here, is unmatched, as something else is meant. Values without
+    letters or digits, and values whose scope has no entries, are unmatched. Null values must be left
+    out by the caller. The dictionary goes out in blocks of about ``block_chars`` characters, each held
+    against all distinct values; the best of all blocks counts.
     """
-    distinct = values.select("field_name", "scope", "value").distinct().withColumn("form", compact(F.col("value")))
-    distinct = materialise(distinct, "typed-values")
+    spark = values.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    distinct = values.select("field_name", "scope", "value").distinct().repartition(tasks)
+    asked = distinct.select("field_name", "scope", "value", compact(F.col("value")).alias("form"), _typed_words(F.col("value")).alias("typed"), compact(F.col("scope")).alias("prefix"))
     forms = materialise(wordings(entries), "wordings")
-
-    n_forms = forms.groupBy("field_name", "scope").agg(F.count(F.lit(1)).alias("n"))
-    post = forms.withColumn("gram", F.explode(grams(F.col("form"))))
-    df = post.groupBy("field_name", "scope", "gram").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(n_forms, ["field_name", "scope"]).select("field_name", "scope", "gram", (F.log(1 + F.col("n") / F.col("df")) ** 2).alias("w2"))
-    post = materialise(post.join(weights, ["field_name", "scope", "gram"]), "postings")
-    rare = F.log(1 + F.col("n").cast("double")) ** 2  # a gram unknown to the index weighs as one that occurs once
-
-    typed = _typed_words(F.col("value"))
-    asked = distinct.filter(F.col("form") != "").select("field_name", "scope", "value", F.col("form").alias("vform"), typed.alias("typed"))
-    asked = asked.withColumns({"bare": F.transform("typed", lambda t: F.regexp_replace(t, "[.]$", "")), "cut": F.transform("typed", lambda t: t.endswith(".") & (F.length(t) >= 3))})
-    against = forms.withColumn("parts", F.split("spaced", " "))
-    scope = ["field_name", "scope"]
-    small = post.count() <= most_broadcast_rows
-    if small:
-        pairs = asked.join(F.broadcast(against), scope)
-    else:
-        salt = F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")
-        spread = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-        pairs = asked.withColumn("_s", salt).join(against.withColumn("_s", spread), [*scope, "_s"]).drop("_s")
-    pairs = pairs.filter(_may_pass(F.col("vform"), F.col("form"), F.col("bare"), F.col("cut"), F.col("parts")))
-    longest = F.greatest(F.length("form"), F.length("vform"))
-    together = F.size("typed") != F.size("parts")
-    budget = F.when(F.col("strict"), 0).when(longest <= 7, 1).when((longest >= 15) & together, 3).otherwise(2)
-    whole = _edits(F.col("form"), F.col("vform"))
-    by_word = F.when(~F.col("strict"), _word_edits(F.col("typed"), F.col("spaced")))
-    near = pairs.select(*scope, "value", "vform", "canonical", "form", F.least(F.when(whole <= budget, whole), by_word).alias("edits"))
-    near = materialise(near.filter(F.col("edits").isNotNull()), "near-pairs")
-
-    of_value = near.select(*scope, "value", "vform").distinct().withColumn("gram", F.explode(grams(F.col("vform"))))
-    of_pair = near.withColumn("gram", F.explode(grams(F.col("vform"))))
-    norms_form = post.groupBy(*scope, "canonical", "form").agg(F.sqrt(F.sum("w2")).alias("nf"))
-    sized = F.broadcast if small else (lambda df: df)
-    known = of_value.join(sized(weights), [*scope, "gram"], "left").join(sized(n_forms), scope)
-    norms_value = known.groupBy(*scope, "value").agg(F.sqrt(F.sum(F.coalesce("w2", rare))).alias("nv"))
-    dots = of_pair.join(sized(post.select(*scope, "canonical", "form", "gram", "w2")), [*scope, "canonical", "form", "gram"], "left").groupBy(*near.columns).agg(F.coalesce(F.sum("w2"), F.lit(0.0)).alias("dot"))
-    checked = (
-        dots.join(norms_form, [*scope, "canonical", "form"])
-        .join(norms_value, [*scope, "value"])
-        .withColumn("cosine", F.col("dot") / (F.col("nf") * F.col("nv")))
-        .filter((F.col("cosine") >= least_cosine) | (F.col("edits") == 0) | (longest > 2))
-    )
-    by_value = Window.partitionBy("field_name", "scope", "value")
-    entry_best = checked.groupBy("field_name", "scope", "value", "vform", "canonical").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("neg"))).alias("_b"))
-    ranked = entry_best.select("field_name", "scope", "value", "vform", "canonical", "_b.edits", (-F.col("_b.neg")).alias("cosine"))
-    order = by_value.orderBy("edits", F.desc("cosine"), "canonical")
-    ranked = (
-        ranked.withColumn("_r", F.row_number().over(order))
-        .withColumn("_e2", F.lead("edits").over(order))
-        .withColumn("_c2", F.lead("cosine").over(order))
-        .filter(F.col("_r") == 1)
-    )
-    clear = F.col("_e2").isNull() | (F.col("_e2") > F.col("edits")) | (F.col("cosine") - F.col("_c2") >= margin)
-    best = ranked.filter(clear)
-
-    # Exact wordings of other scopes: the same wording, with the scope's own prefix set aside.
-    elsewhere = forms.select("field_name", _bare(F.col("form"), F.col("scope")).alias("bare")).distinct()
-    foreign = distinct.withColumn("bare", _bare(F.col("form"), F.col("scope"))).join(elsewhere, ["field_name", "bare"], "left_semi").select("field_name", "scope", "value", F.lit(True).alias("_foreign"))
-    decided = distinct.drop("form").join(best.select("field_name", "scope", "value", "canonical", "edits", "cosine"), ["field_name", "scope", "value"], "left").join(foreign, ["field_name", "scope", "value"], "left")
-    good = F.col("canonical").isNotNull() & ((F.col("edits") == 0) | F.col("_foreign").isNull())
-    return decided.select(
+    schema = "field_name string, scope string, value string, foreign boolean, found array<struct<canonical:string, edits:int, cosine:double>>"
+    parts = []
+    for block in _blocks(forms, block_chars):
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            if name not in _INDEX:
+                _INDEX.clear()
+                bare: dict[str, set[str]] = {}
+                for field, scope, rows, _, _ in sent.value:
+                    prefix = _python_compact(scope)
+                    bare.setdefault(field, set()).update(_bare(r[1], prefix) for r in rows)
+                _INDEX[name] = {"bare": bare, "scopes": {(f, s): ScopeIndex(rows, w, rare) for f, s, rows, w, rare in sent.value}}
+            index = _INDEX[name]
+            for batch in batches:
+                foreign, found = [], []
+                for field, scope, form, typed, prefix in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)]):
+                    own = index["scopes"].get((field, scope))
+                    found.append([] if own is None or not form else [{"canonical": c, "edits": e, "cosine": x} for c, e, x in own.best(form, typed, least_cosine, margin)])
+                    foreign.append(_bare(form, prefix) in index["bare"].get(field, ()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(foreign), pa.array(found, pa.list_(pa.struct([("canonical", pa.string()), ("edits", pa.int32()), ("cosine", pa.float64())])))], names=["field_name", "scope", "value", "foreign", "found"])
+
+        parts.append(asked.mapInArrow(run, schema))
+    if not parts:
+        return distinct.select("field_name", "scope", "value", F.lit(UNMATCHED).alias("canonical"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("cosine"))
+    merged = parts[0]
+    if len(parts) > 1:  # at most two candidates a block
+        for p in parts[1:]:
+            merged = merged.unionByName(p)
+        merged = merged.groupBy("field_name", "scope", "value").agg(F.max("foreign").alias("foreign"), F.flatten(F.collect_list("found")).alias("found"))
+    ranked = merged.withColumn("_r", F.array_sort(F.transform("found", lambda x: F.struct((-x["cosine"]).alias("neg"), x["canonical"].alias("canonical"), x["edits"].alias("edits")))))
+    best = F.get("_r", F.lit(0))
+    ranked = ranked.withColumn("_b", best)
+    rival = F.exists("_r", lambda x: (x["canonical"] != F.col("_b.canonical")) & (x["neg"] - F.col("_b.neg") <= margin))
+    good = F.col("_b").isNotNull() & ~rival & ((F.col("_b.edits") == 0) | ~F.col("foreign"))
+    return ranked.select(
         "field_name", "scope", "value",
-        F.when(good, F.col("canonical")).otherwise(UNMATCHED).alias("canonical"),
-        F.when(good, F.col("edits")).alias("edits"),
-        F.when(good, F.round("cosine", 6)).alias("cosine"),
+        F.when(good, F.col("_b.canonical")).otherwise(UNMATCHED).alias("canonical"),
+        F.when(good, F.col("_b.edits")).alias("edits"),
+        F.when(good, F.round(-F.col("_b.neg"), 6)).alias("cosine"),
     )
 
 
-def _bare(form: Column, scope: Column) -> Column:
-    prefix = compact(scope)
-    return F.when(form.startswith(prefix) & (F.length(form) > F.length(prefix) + 2), F.substring(form, F.length(prefix) + 1, F.length(form))).otherwise(form)
-
-
 def entry_values(df: DataFrame) -> DataFrame:
     """One row per non-blank typed value: entry_id, field_name, scope, value."""
     both = F.explode(F.array(

@@ -242,12 +242,59 @@ def test_typed_entries(spark):
     assert {r.canonical for r in entries.map_entries(df, variables.limit(0), terms.limit(0)).collect()} == {u}
 
 
-def test_salted_path_equals_broadcast_path(spark):
+def test_candidates_against_all_pairs():
+    """Of the pairs that pass the check, the cosine threshold keeps at least 99 in a hundred."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeghlmnoprstuv") for _ in range(rng.randint(2, 9)))
+    listed = [[word() for _ in range(rng.randint(1, 4))] for _ in range(300)]
+    rows = [(" ".join(w).upper(), "".join(w), " ".join(w), False) for w in listed]
+    counts = entries.Counter(g for _, f, s, _ in rows for g in entries.grams(f, s.split(" ")))
+    index = entries.ScopeIndex(rows, *entries._weights(counts, len(rows)))
+
+    def typed(words):
+        words = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k = rng.randrange(len(words))
+            w, at = words[k], rng.randrange(len(words[k]))
+            words[k] = rng.choice([w[:at] + rng.choice("xyz") + w[at + 1 :], w[:at] + w[at + 1 :] or w, w[:at] + rng.choice("xyz") + w[at:], w[: max(2, at)] + "."])
+        return words
+
+    lost = total = 0
+    for own in listed * 3:
+        t = typed(own)
+        form = "".join(t).replace(".", "")
+        near = {c for c, *_ in index.best(form, t, 0.12, 9.0)}
+        all_of = [(c, f) for c, f, s, strict in rows if entries.check(form, t, f, s.split(" "), strict) is not None]
+        if all_of:
+            total += 1
+            lost += not near & {c for c, _ in all_of}
+    assert total > 600 and lost <= 0.01 * total
+
+
+def test_edits():
+    def brute(a, b):
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        for most in (0, 1, 2, 3):
+            assert entries.edits(a, b, most) == min(brute(a, b), most + 1)
+
+
+def test_blocks_change_nothing(spark):
     values = spark.createDataFrame([("f", "s", v) for v in ("alpha", "alpah", "beta", "betta", "gamma ray", "nothing")], "field_name string, scope string, value string")
     ents = spark.createDataFrame([("f", "s", c, [c], []) for c in ("ALPHA", "BETA", "GAMMA RAY")], "field_name string, scope string, canonical string, texts array<string>, strict_texts array<string>")
     a = sorted(map(tuple, entries.map_values(values, ents).collect()))
-    b = sorted(map(tuple, entries.map_values(values, ents, most_broadcast_rows=0).collect()))
-    assert a == b and [r[3] for r in a if r[2] == "alpah"] == ["ALPHA"]
+    for chars in (1, 7, 12):
+        assert sorted(map(tuple, entries.map_values(values, ents, block_chars=chars).collect())) == a
+    assert [r[3] for r in a if r[2] == "alpah"] == ["ALPHA"]
 
 
 def test_no_near_wording_is_left_out(spark):
@@ -261,8 +308,8 @@ def test_no_near_wording_is_left_out(spark):
     typed = [("s", " ".join(w[:2] + "." for w in c.split()), c) for c in cut] + [("t", "lo. ki. mu. re.", "LOWER KIDNEY MUSCLE REGION"), ("u", "cxot", "CLOT"), ("u", "xy", entries.UNMATCHED), ("v", "aaa bbb ccp ddd", "AAA BBB CCP DDD"), ("v", "aa. bb. cc. dd.", entries.UNMATCHED)]
     made = spark.createDataFrame(ents, "field_name string, scope string, canonical string, texts array<string>, strict_texts array<string>")
     values = spark.createDataFrame([("f", s, v) for s, v, _ in typed], "field_name string, scope string, value string")
-    for rows in (2_000_000, 0):
-        got = {(r.scope, r.value): r.canonical for r in entries.map_values(values, made, most_broadcast_rows=rows).collect()}
+    for chars in (4_000_000, 200):
+        got = {(r.scope, r.value): r.canonical for r in entries.map_values(values, made, block_chars=chars).collect()}
         assert got == {(s, v): c for s, v, c in typed}
 
 

@@ -252,7 +252,7 @@ def _bare(form: str, prefix: str) -> str:
     return form[len(prefix) :] if form.startswith(prefix) and len(form) > len(prefix) + 2 else form
 
 
-def map_values(values: DataFrame, entries: DataFrame, least_cosine: float = 0.12, margin: float = 0.02, block_chars: int = 4_000_000) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, least_cosine: float = 0.1, margin: float = 0.02, block_chars: int = 4_000_000) -> DataFrame:
     """(field_name, scope, value, canonical, edits, cosine) for each distinct (field_name, scope, value).
 
     A value is compared with entries of its own field and scope only. Candidates come from the inverted
@@ -261,7 +261,7 @@ def map_values(values: DataFrame, entries: DataFrame, least_cosine: float = 0.12
     Else the value is '[UNMATCHED]'. A value that is exactly a wording known in other scopes of its
     field only, and no exact wording here, is unmatched, as something else is meant. Values without
     letters or digits, and values whose scope has no entries, are unmatched. Null values must be left
-    out by the caller. The dictionary goes out in blocks of about ``block_chars`` characters, each held
+    out by the caller. An edit in a wording of two letters leaves too little of it for the threshold. The dictionary goes out in blocks of about ``block_chars`` characters, each held
     against all distinct values; the best of all blocks counts.
     """
     spark = values.sparkSession

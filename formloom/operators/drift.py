@@ -41,26 +41,35 @@ def cells(lines: DataFrame, line_col: str, keep: list[str], empty: bool = False)
     return exploded.select(*keep, "field_name", raw_type(F.col("_value")).alias("json_type"), F.col("_value").cast("string").alias("raw"))
 
 
-def path_statistics(lines: DataFrame, source: str, file: str, time: str, line_col: str) -> DataFrame:
-    """(source, file, time, field_name, n_records, n_typed, json_type): for each field of each file
-    the records that have it, those where it is not null, and its prevailing type (by count, then
-    name; null where all values are null)."""
-    c = cells(lines, line_col, [source, file, time])
+def _file_fields(lines: DataFrame, source: str, file: str, time: str, line_col: str) -> DataFrame:
+    """As ``path_statistics``, with a row of a null field_name for each file that has lines without fields, so
+    that files without any whole record stand here too. One pass, pre-aggregated where the lines are."""
+    v = F.try_parse_json(F.col(line_col))
+    parsed = lines.select(F.col(source).alias("source"), F.col(file).alias("file"), F.col(time).alias("_time"), v.alias("_p"))
+    parsed = parsed.withColumn("_v", F.when(F.schema_of_variant("_p").startswith("OBJECT"), F.col("_p"))).drop("_p")
+    exploded = lines.sparkSession.sql("SELECT p.source, p.file, p._time, e.key AS field_name, e.value AS _value FROM {p} p, LATERAL variant_explode_outer(p._v) e", p=parsed)
+    c = exploded.withColumn("json_type", F.when(F.col("field_name").isNotNull(), raw_type(F.col("_value"))))
     counts = [F.sum((F.col("json_type") == t).cast("long")) for t in _TYPES]
     typed = F.array(*[F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, n) in enumerate(zip(_TYPES, counts))])
-    top = F.array_max(typed)
-    return c.groupBy(F.col(source).alias("source"), F.col(file).alias("file"), "field_name").agg(
-        F.min(time).alias("file_time"),
+    return c.groupBy("source", "file", "field_name").agg(
+        F.min("_time").alias("file_time"),
         F.count(F.lit(1)).alias("n_records"),
         F.count("json_type").alias("n_typed"),
-        top.alias("_top"),
+        F.array_max(typed).alias("_top"),
     ).select("source", "file", "file_time", "field_name", "n_records", "n_typed", F.when(F.col("_top.n") > 0, F.col("_top.t")).alias("json_type"))
 
 
-def _file_order(lines: DataFrame, source: str, file: str, time: str) -> DataFrame:
+def path_statistics(lines: DataFrame, source: str, file: str, time: str, line_col: str) -> DataFrame:
+    """(source, file, time, field_name, n_records, n_typed, json_type): for each field of each file
+    the records that have it, those where it is not null, and its prevailing type (by count, then
+    name; null where all values are null)."""
+    return _file_fields(lines, source, file, time, line_col).filter(F.col("field_name").isNotNull())
+
+
+def _file_order(files: DataFrame) -> DataFrame:
     """Each file with the file of its source before it, by (time, file); files without any whole
-    record count. A null time sorts first."""
-    files = lines.groupBy(F.col(source).alias("source"), F.col(file).alias("file")).agg(F.min(time).alias("file_time"))
+    record count. A null time sorts first. ``files`` has source, file, file_time in any number of rows a file."""
+    files = files.groupBy("source", "file").agg(F.min("file_time").alias("file_time"))
     w = Window.partitionBy("source").orderBy(F.col("file_time").asc_nulls_first(), F.col("file").asc_nulls_first())
     return files.withColumn("prev_file", F.lag("file").over(w)).withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") > 1).select("source", "file", "prev_file")
 
@@ -68,7 +77,7 @@ def _file_order(lines: DataFrame, source: str, file: str, time: str) -> DataFram
 def _shape(c: Column) -> Column:
     for pattern, by in (("[0-9]+(?:[.][0-9]+)?", "9"), (r"\p{Ll}+", "a"), (r"\p{Lu}", "A")):
         c = F.regexp_replace(c, pattern, by)
-    return F.substring(c, 1, 64)
+    return c
 
 
 def _features(c: DataFrame, by: list[str]) -> DataFrame:
@@ -106,8 +115,8 @@ def schema_changes(
     null throughout is present but not retyped. Null sources form one source. Empty tables give
     an empty result.
     """
-    stats = materialise(path_statistics(lines, source, file, time, line_col), "path-stats")
-    order = materialise(_file_order(lines, source, file, time), "file-order")
+    fields = materialise(_file_fields(lines, source, file, time, line_col), "path-stats")
+    stats, order = fields.filter(F.col("field_name").isNotNull()), _file_order(fields)
     now = stats.select("file", "field_name", F.col("json_type").alias("new_type"))
     old = order.join(stats.select(F.col("file").alias("prev_file"), "field_name", F.col("json_type").alias("old_type")), "prev_file").select("source", "file", "prev_file", "field_name", "old_type", F.lit(True).alias("_o"))
     new = order.join(now, "file").select("source", "file", "prev_file", "field_name", "new_type", F.lit(True).alias("_n"))
@@ -124,12 +133,10 @@ def schema_changes(
     come = diff.filter("change_kind = 'added'").select("file", F.col("field_name").alias("new_name"), "new_type")
     pairs = gone.join(come, "file").filter(F.col("old_type") == F.col("new_type"))
 
-    names = pairs.select(F.col("old_name").alias("field_name")).union(pairs.select("new_name")).distinct()
-    sides = pairs.select(F.col("prev_file").alias("file"), F.col("old_name").alias("field_name")).union(pairs.select("file", "new_name")).distinct()
+    names = pairs.select(F.explode(F.array("old_name", "new_name")).alias("field_name")).distinct()
     wanted = cells(lines.withColumnRenamed(file, "file"), line_col, ["file"]).join(names, "field_name", "left_semi")
-    wanted = materialise(wanted, "drift-cells")
-    by_file = materialise(_features(wanted.join(sides, ["file", "field_name"], "left_semi"), ["file", "field_name"]), "file-features")
-    by_name = materialise(_features(wanted, ["field_name"]), "name-features")
+    by_file = materialise(_features(wanted, ["file", "field_name"]), "file-features")
+    by_name = by_file.groupBy("field_name", "kind", "bucket").agg(F.sum("n").alias("n"))
 
     keys = ["file", "prev_file", "old_name", "new_name"]
     fa = by_file.withColumnsRenamed({"file": "prev_file", "field_name": "old_name"})
@@ -165,26 +172,6 @@ def _best_first(scored: DataFrame) -> DataFrame:
     return scored.groupBy("file").agg(kept.alias("_k")).select("file", F.explode("_k").alias("_p")).select("file", "_p.old_name", "_p.new_name", "_p.old_type", "_p.new_type", "_p.similarity")
 
 
-def canonical_names(changes: DataFrame, most_names: int = 10_000) -> dict[str, str]:
-    """Canonical name of each renamed field name: all names linked by renames share the smallest.
-    Distinct name pairs are few however large the data; beyond ``most_names`` this refuses."""
-    pairs = [tuple(r) for r in changes.filter("change_kind = 'renamed'").select("old_name", "field_name").distinct().limit(most_names + 1).collect()]
-    if len(pairs) > most_names:
-        raise ValueError(f"more than {most_names} distinct renames")
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {x: find(x) for x in root}
-
-
 def _targets(events: list[tuple], schema: set[str]) -> list[tuple[str, int, int, str]]:
     """(name, first, last, schema field) of the lives of the other names of one source. ``events`` are renames
     (number of the file, old name, new name). A life lasts from the rename that brings a name to the one
@@ -241,30 +228,69 @@ def file_names(lines: DataFrame, changes: DataFrame, schema: dict[str, str], sou
     return here.unionByName(foreign.join(there, ["file", "to"], "left_anti").select("file", "field_name", "to")).withColumnRenamed("file", file)
 
 
+#: Schema type of fields that may hold any JSON; their text is the value's JSON.
+JSON = "json"
+
+
 def unify(lines: DataFrame, schema: dict[str, str], names: dict[str, str] | DataFrame, line_col: str = "line_text", keep: tuple[str, ...] = ("line_id", "file_id")) -> DataFrame:
-    """Typed columns of ``schema`` (canonical name to Spark type) for every whole record, plus
+    """Typed columns of ``schema`` (canonical name to Spark type, or JSON) for every whole record, plus
     failed_casts: an array of (field, json_type, raw) of values that would not cast, and rest: a map
-    from name to (json_type, raw) of all fields that no column was taken from. ``names`` maps other names to
-    canonical ones, for all lines or, as a table (some of ``keep``, field_name, to), for those of
-    a file; where a record holds several, the canonical one wins, then the first in name order, and
-    the others are in rest. Schema names are never mapped."""
-    c = cells(lines.withColumn("_row", F.monotonically_increasing_id()), line_col, ["_row", *keep], empty=True)
+    from name to (json_type, raw) of all fields that no column was taken from.
+
+    An object or array does not cast to a single value's type; any value casts to JSON, which is a
+    string column. ``names`` maps other names to canonical ones, for all lines or, as a table (one
+    of ``keep``, field_name, to), for those of a file; where a record holds several, the canonical one
+    wins, then the first in name order, and the others are in rest. Schema names are never mapped. Each
+    line is parsed once and stays where it is, but for the join with the names of its file, which
+    are broadcast where Spark's own size limit allows."""
     if isinstance(names, DataFrame):
-        c = c.join(names.withColumnRenamed("to", "_other"), [*[k for k in keep if k in names.columns], "field_name"], "left")
+        on = [k for k in keep if k in names.columns]
+        of_file = materialise(names.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "to"))).alias("_names")), "file-names")
+        rows = lines.join(of_file, on, "left")
     else:
-        known = {n: n for n in schema} | {n: to for n, to in names.items() if to in schema and n not in schema}
-        c = c.withColumn("_other", F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[F.col("field_name")])
-    c = c.withColumn("_to", F.when(F.col("field_name").isin(*schema), F.col("field_name")).otherwise(F.col("_other")))
-    held = {n: F.min(F.when((F.col("_to") == n) & F.col("raw").isNotNull(), F.struct((F.col("field_name") != n).alias("_o"), "field_name", "raw", "json_type"))) for n in schema}
-    spare = F.col("field_name").isNotNull() & (F.col("_to").isNull() | F.col("raw").isNotNull())
-    rows = c.groupBy("_row", *keep).agg(*[h.alias(f"_h_{n}") for n, h in held.items()], F.collect_list(F.when(spare, F.struct("field_name", "json_type", "raw"))).alias("_all"))
-    typed, failed = [], []
-    for name, kind in schema.items():
-        h = F.col(f"_h_{name}")
-        cast = h["raw"] if kind == "string" else h["raw"].try_cast(kind)
-        typed.append(cast.alias(name))
-        failed.append(F.when(h["raw"].isNotNull() & cast.isNull(), F.struct(h["field_name"].alias("field"), h["json_type"].alias("json_type"), h["raw"].alias("raw"))))
-    taken = F.array_compact(F.array(*[F.col(f"_h_{n}")["field_name"] for n in schema]))
-    left = F.array_sort(F.filter("_all", lambda x: ~F.array_contains(taken, x["field_name"])))
-    rest = F.map_from_entries(F.transform(left, lambda x: F.struct(x["field_name"], F.struct(x["json_type"].alias("json_type"), x["raw"].alias("raw")))))
-    return rows.select(*keep, *typed, F.array_compact(F.array(*failed)).alias("failed_casts"), rest.alias("rest"))
+        given = [F.lit(x) for n, to in sorted(names.items()) if to in schema and n not in schema for x in (n, to)]
+        rows = lines.withColumn("_names", F.create_map(*given) if given else F.lit(None).cast("map<string,string>"))
+    parsed = F.try_parse_json(F.col(line_col))
+    rows = rows.filter(F.schema_of_variant(parsed).startswith("OBJECT"))
+    names_of = F.coalesce("_names", F.create_map().cast("map<string,string>"))
+    kind = lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "VOID", F.lit(None).cast("string")).otherwise("number")
+    raw = lambda m, k: F.element_at(m, k)["raw"]
+
+    # Each step is bound to a lambda's argument: as columns of their own, the optimizer would write out
+    # every step anew wherever it is used.
+    def read(m: Column) -> Column:
+        return F.transform_values(m, lambda _, v: F.struct(F.schema_of_variant(v).alias("s"), v.cast("string").alias("raw")))
+
+    def hold(m: Column) -> Column:
+        return F.struct(F.transform_values(m, lambda _, x: F.struct(kind(x["s"]).alias("json_type"), F.when(x["s"] != "VOID", x["raw"]).alias("raw"))).alias("m"), names_of.alias("names"))
+
+    def alias(b: Column) -> Column:
+        named = F.transform(F.array_sort(F.map_keys(b["m"])), lambda k: F.struct(k.alias("name"), F.element_at(b["names"], k).alias("to")))
+        return F.struct(b["m"].alias("m"), b["names"].alias("names"), F.filter(named, lambda x: x["to"].isNotNull() & ~x["name"].isin(*schema) & raw(b["m"], x["name"]).isNotNull()).alias("known"))
+
+    def choose(b: Column) -> Column:
+        source = [F.when(raw(b["m"], F.lit(n)).isNotNull(), F.lit(n)).otherwise(F.get(F.filter(b["known"], lambda x: x["to"] == n), F.lit(0))["name"]) for n in schema]
+        return F.struct(b["m"].alias("m"), b["names"].alias("names"), F.array(*source).alias("source"))
+
+    def take(b: Column) -> Column:
+        taken = F.transform(b["source"], lambda n: F.struct(n.alias("field"), F.element_at(b["m"], n)["json_type"].alias("json_type"), raw(b["m"], n).alias("raw")))
+        mapped = lambda k: k.isin(*schema) | F.element_at(b["names"], k).isNotNull()
+        rest = F.map_filter(b["m"], lambda k, x: ~F.array_contains(F.array_compact(b["source"]), k) & (~mapped(k) | x["raw"].isNotNull()))
+        return F.struct(taken.alias("taken"), rest.alias("rest"))
+
+    def cast(b: Column) -> Column:
+        typed = []
+        for i, (name, to) in enumerate(schema.items()):
+            x = b["taken"][i]
+            typed.append((x["raw"] if to == JSON else F.when(~x["json_type"].isin("object", "array"), x["raw"] if to == "string" else x["raw"].try_cast(to))).alias(name))
+        return F.struct(F.struct(*typed).alias("typed"), b["taken"].alias("taken"), b["rest"].alias("rest"))
+
+    def report(b: Column) -> Column:
+        failed = [F.when(b["taken"][i]["raw"].isNotNull() & b["typed"][name].isNull(), b["taken"][i]) for i, name in enumerate(schema)]
+        return F.struct(b["typed"].alias("typed"), F.array_compact(F.array(*failed)).alias("failed_casts"), b["rest"].alias("rest"))
+
+    chain = F.array(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    for step in (read, hold, alias, choose, take, cast, report):
+        chain = F.transform(chain, step)
+    rows = rows.select(*keep, F.element_at(chain, 1).alias("_r"))
+    return rows.select(*keep, *[F.col(f"_r.typed.{n}").alias(n) for n in schema], F.col("_r.failed_casts").alias("failed_casts"), F.col("_r.rest").alias("rest"))

@@ -12,7 +12,7 @@ from formloom.operators import drift, nested, orphans, packed
 RECORD_SCHEMA = {
     "qid": "string", "seq": "bigint", "text": "string", "annotation": "string", "domain": "string", "pattern": "string",
     "confidence": "double", "valid": "boolean", "page_id": "bigint", "form": "string", "section": "string",
-    "question_annotation": "string", "option_annotations": "string",
+    "question_annotation": "string", "option_annotations": drift.JSON,
 }
 
 
@@ -98,10 +98,44 @@ def p4_failed_casts(spark: SparkSession, root: str) -> DataFrame:
     """Cells whose cast to the field's type failed, by field, raw type and file."""
     lines = table(spark, root, "result_lines")
     names = drift.file_names(lines, drift.schema_changes(lines), RECORD_SCHEMA)
-    cells = drift.unify(lines, RECORD_SCHEMA, names).select("file_id", F.explode("failed_casts").alias("c"))
+    cells = drift.unify(lines, RECORD_SCHEMA, names).select("file_id", F.explode_outer("failed_casts").alias("c")).filter("c IS NOT NULL")
     return cells.groupBy("file_id", F.col("c.field").alias("field_name"), F.col("c.json_type").alias("json_type")).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def p4_own_records(spark: SparkSession, root: str) -> DataFrame:
+    """All whole records by the fields' own names, without renames: typed columns, and how many cells would not
+    cast or have no column."""
+    rows = drift.unify(table(spark, root, "result_lines"), RECORD_SCHEMA, {})
+    return rows.select("line_id", "file_id", *[c for c in RECORD_SCHEMA if RECORD_SCHEMA[c] != drift.JSON], F.size("failed_casts").alias("n_failed"), F.size("rest").alias("n_rest"))
+
+
+def p4_own_failed_casts(spark: SparkSession, root: str) -> DataFrame:
+    """Cells under a field's own name that would not cast, by file, field and raw type."""
+    cells = drift.unify(table(spark, root, "result_lines"), RECORD_SCHEMA, {}).select("file_id", F.explode_outer("failed_casts").alias("c")).filter("c IS NOT NULL")
+    return cells.groupBy("file_id", F.col("c.field").alias("field_name"), F.col("c.json_type").alias("json_type")).agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+_P4_JSON = """WITH l AS (SELECT line_id, file_id, CASE WHEN json_valid(line_text) THEN line_text::JSON END AS j FROM result_lines),
+o AS (SELECT line_id, file_id, j FROM l WHERE j IS NOT NULL AND json_type(j) = 'OBJECT')"""
+_SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _own_cell(name: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{name}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN TRY_CAST(json_extract_string(j, '$.{name}') AS {_SQL_TYPES[RECORD_SCHEMA[name]]}) END"
+
+
+def _cell_failed(name: str) -> str:
+    return f"coalesce(json_type(j, '$.{name}') <> 'NULL', false) AND {_own_cell(name)} IS NULL"
+
+
+_OWN = [c for c in RECORD_SCHEMA if RECORD_SCHEMA[c] != drift.JSON]
+_P4_OWN = f"""{_P4_JSON} SELECT line_id, file_id, {", ".join(f"{_own_cell(c)} AS {c}" for c in _OWN)},
+ {" + ".join(f"CAST({_cell_failed(c)} AS INTEGER)" for c in _OWN)} AS n_failed,
+ len(list_filter(json_keys(j), lambda k: k NOT IN ({", ".join(f"'{c}'" for c in RECORD_SCHEMA)}))) AS n_rest FROM o"""
+_P4_OWN_FAILED = f"""{_P4_JSON}, c AS ({" UNION ALL ".join(f"SELECT file_id, '{c}' AS field_name, json_type(j, '$.{c}') AS t FROM o WHERE {_cell_failed(c)}" for c in _OWN)})
+SELECT file_id, field_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS json_type, count(*) AS n_cells FROM c GROUP BY ALL"""
+
+
 _P4_STATS = """
 WITH l AS (SELECT file_id, CASE WHEN json_valid(line_text) THEN line_text::JSON END AS j FROM result_lines),
 o AS (SELECT file_id, j FROM l WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
@@ -157,6 +191,8 @@ QUERIES = {
     "p4_path_stats": p4_path_stats,
     "p4_records": p4_records,
     "p4_failed_casts": p4_failed_casts,
+    "p4_own_records": p4_own_records,
+    "p4_own_failed_casts": p4_own_failed_casts,
     "p5_found": p5_found,
 }
 
@@ -165,5 +201,7 @@ ORACLES = {
     "p2_orphan_counts": _P2
     + "SELECT table_name, field_name, reason, ref_month, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY ALL",
     "p4_path_stats": _P4_STATS,
+    "p4_own_records": _P4_OWN,
+    "p4_own_failed_casts": _P4_OWN_FAILED,
     "p5_found": _P5,
 }

@@ -263,8 +263,14 @@ def test_renames_hold_for_their_source_and_span(spark):
     assert drift._targets([(2, "a", "x"), (4, "x", "b"), (6, "b", "x")], {"a", "b"}) == [("x", 2, 3, "a"), ("x", 6, (1 << 30) - 1, "b")]
 
 
-def test_canonical_names_refuse_unbounded(spark):
-    df = spark.createDataFrame([("renamed", f"a{i}", f"b{i}") for i in range(5)], "change_kind string, old_name string, field_name string")
-    assert drift.canonical_names(df)["b3"] == "a3"
-    with pytest.raises(ValueError):
-        drift.canonical_names(df, most_names=3)
+def test_objects_do_not_pass_as_text(spark):
+    """An object or array fails to cast to a single value, and any value passes as JSON; no field is lost."""
+    lines = ['{"form":{"a":1},"opts":[1,"x"],"n":"7","extra":null}', '{"form":"F","opts":"t","n":"seven","Form":"G","extra":{"k":[]}}', "{}", "[1]", "{", None, '{"form":null,"Form":"H"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line_text string")
+    rows = {r.line_id: r for r in drift.unify(df, {"form": "string", "opts": drift.JSON, "n": "bigint"}, {"Form": "form"}, keep=("line_id",)).collect()}
+    assert set(rows) == {0, 1, 2, 6}
+    assert (rows[0].form, rows[0].opts, rows[0].n) == (None, '[1,"x"]', 7)
+    assert [tuple(x) for x in rows[0].failed_casts] == [("form", "object", '{"a":1}')] and {k: tuple(v) for k, v in rows[0].rest.items()} == {"extra": (None, None)}
+    assert (rows[1].form, rows[1].opts, rows[1].n) == ("F", "t", None) and [tuple(x) for x in rows[1].failed_casts] == [("n", "string", "seven")]
+    assert {k: tuple(v) for k, v in rows[1].rest.items()} == {"Form": ("string", "G"), "extra": ("object", '{"k":[]}')}
+    assert rows[2].rest == {} and rows[6].form == "H" and rows[6].rest == {}

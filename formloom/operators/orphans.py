@@ -1,11 +1,13 @@
 """References to dictionary keys that are missing, deleted or loaded later.
 
-References are first counted per key and period. Each (key, period) group is then judged against
-the versions of its key: a group whose whole time span lies within one state gets one verdict,
-and only groups whose state changes inside the span are judged row by row. Groups that hold a
-large share of all references are few by arithmetic (at most ``1 / heavy_share``), so they are
-checked by broadcast; the rest go through a shuffled join. The row result reads the references
-once more and keeps those of orphan groups only.
+Rows: references are counted per key first. Keys that hold a large share of all references are few by
+arithmetic (at most ``1 / heavy_share``); their versions are broadcast and each reference to them is
+checked in place. All others go through one shuffled anti-join with the live spans of their keys, in
+which the heavy ones that are left take part under keys of their own, so no task gets a hot key.
+
+Counts: references are pre-aggregated per key and period. A group whose whole time span lies within
+one state of its key gets one verdict; only groups whose state changes inside the span are judged
+by the times of their references.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_GROUP = ["field_name", "ref_key", "scope_key", "ref_month"]
+from formloom.session import materialise
+
+_KEY = ["field_name", "ref_key", "scope_key"]
+_GROUP = ["table_name", *_KEY, "ref_month"]
 
 
 @dataclass(frozen=True)
@@ -65,7 +70,7 @@ def _judge(groups: DataFrame, versions: DataFrame, keys: list[str], low: str, hi
     'mixed' where the state changes between ``low`` and ``high``."""
     v = versions.select("field_name", "ref_key", "scope_key", F.col("loaded_at").alias("_l"), F.col("deleted_at").alias("_d"))
     ended = F.coalesce(F.col("_d"), F.lit("9999-12-31").cast("timestamp_ntz"))
-    joined = groups.join(v, ["field_name", "ref_key", "scope_key"], "left")
+    joined = groups.join(v, _KEY, "left")
     covers = (F.col("_l") <= F.col(low)) & (ended > F.col(high))
     touches = (F.col("_l") <= F.col(high)) & (ended > F.col(low)) & (ended > F.col("_l"))
     agg = joined.groupBy(*keys).agg(
@@ -94,7 +99,7 @@ def _versions(dims: list[Dimension]) -> DataFrame:
 
 
 def group_verdicts(refs: DataFrame, dims: list[Dimension]) -> DataFrame:
-    """(field_name, ref_key, scope_key, ref_month, n_refs, reason) of every (key, period) group."""
+    """(table_name, field_name, ref_key, scope_key, ref_month, n_refs, reason) of every (key, period) group."""
     groups = refs.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n_refs"),
         F.min(F.col("ref_time").cast("timestamp_ntz")).alias("_lo"),
@@ -108,34 +113,37 @@ def orphan_references(refs: DataFrame, dims: list[Dimension], heavy_share: float
     live row at their time; columns as TESTDATA.md has them for p2.
 
     Nulls are no references; a version with null loaded_at never was live; one deleted before it
-    was loaded counts as never live. Empty inputs give an empty result.
+    was loaded counts as never live. Repeated rows of one id give one result each key and month. Empty
+    inputs give an empty result.
     """
-    spark = refs.sparkSession
-    from formloom.session import materialise
-
-    verdicts = materialise(group_verdicts(refs, dims), "orphan-groups")
-    total = verdicts.agg(F.sum("n_refs")).first()[0] or 0
-    least = max(1, int(total * heavy_share))
-    orphan = verdicts.filter(F.col("reason") != "live")
-    heavy = verdicts.filter(F.col("n_refs") > least).select(*_GROUP, F.col("reason").alias("_hr"))  # at most 1 / heavy_share rows
-    light = orphan.filter(F.col("n_refs") <= least).select(*_GROUP, "reason")
-
-    marked = refs.join(F.broadcast(heavy), _GROUP, "left")
-    of_heavy = marked.filter(F.col("_hr").isNotNull() & (F.col("_hr") != "live")).withColumnRenamed("_hr", "reason")
-    of_light = marked.filter(F.col("_hr").isNull()).drop("_hr").join(light, _GROUP)
-    cols = ["table_name", "row_id", *_GROUP, "ref_time", "reason"]
-    hits = of_heavy.select(cols).unionByName(of_light.select(cols))
-
-    settled = hits.filter(F.col("reason") != "mixed")
-    open_ = hits.filter(F.col("reason") == "mixed").drop("reason").withColumn("_t", F.col("ref_time").cast("timestamp_ntz"))
-    times = open_.groupBy("field_name", "ref_key", "scope_key", "ref_month", "_t").agg(F.lit(1).alias("_one"))
-    judged = _judge(times, _versions(dims), [*_GROUP, "_t"], "_t", "_t").filter(F.col("reason") != "live")
-    exact = open_.join(judged, [*_GROUP, "_t"])
-    out = ["table_name", "row_id", "field_name", "ref_key", "reason", "ref_month"]
-    return settled.select(out).unionByName(exact.select(out)).distinct()
+    versions = _versions(dims)
+    counts = materialise(refs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n")), "reference-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = counts.filter(F.col("_n") > max(1, int(total * heavy_share))).select(*_KEY)  # at most 1 / heavy_share rows
+    spans = heavy.join(versions, _KEY, "left").groupBy(*_KEY).agg(F.min("loaded_at").alias("_hf"), F.collect_list(F.when(F.col("loaded_at").isNotNull(), F.struct("loaded_at", "deleted_at"))).alias("_spans"))
+
+    t = F.col("_t")
+    marked = refs.withColumn("_t", F.col("ref_time").cast("timestamp_ntz")).join(F.broadcast(spans), _KEY, "left")
+    is_heavy = F.col("_spans").isNotNull()
+    live = F.exists("_spans", lambda v: (v["loaded_at"] <= t) & (v["deleted_at"].isNull() | (v["deleted_at"] > t)))
+    left = marked.filter(~is_heavy | ~live).withColumn("_k", F.when(is_heavy, F.concat(F.lit("\u0000"), F.xxhash64("table_name", "row_id").cast("string"))).otherwise(F.col("ref_key")))
+
+    v = versions.select(F.col("field_name").alias("_vf"), F.col("ref_key").alias("_vk"), F.col("scope_key").alias("_vs"), F.col("loaded_at").alias("_l"), F.col("deleted_at").alias("_d"))
+    same = (F.col("field_name") == F.col("_vf")) & (F.col("_k") == F.col("_vk")) & (F.col("scope_key") == F.col("_vs"))
+    dead = left.join(v, same & (F.col("_l") <= t) & (F.col("_d").isNull() | (F.col("_d") > t)), "left_anti")
+    first = v.groupBy("_vf", "_vk", "_vs").agg(F.min("_l").alias("_first"))
+    known = F.coalesce("_hf", "_first")
+    reason = F.when(known.isNull(), "missing").when(known > t, "late").otherwise("deleted")
+    return dead.join(first, same, "left").select("table_name", "row_id", "field_name", "ref_key", reason.alias("reason"), "ref_month").distinct()
 
 
 def orphan_counts(refs: DataFrame, dims: list[Dimension]) -> DataFrame:
-    """Orphan references per table, field, reason and month."""
-    found = orphan_references(refs, dims)
-    return found.groupBy("table_name", "field_name", "reason", "ref_month").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("ref_key").alias("n_keys"))
+    """Orphan references per table, field, reason and month, from the pre-aggregated groups. Repeated rows
+    count each time."""
+    verdicts = materialise(group_verdicts(refs, dims), "orphan-groups").filter(F.col("reason") != "live")
+    mixed = verdicts.filter(F.col("reason") == "mixed").select(*_GROUP)
+    times = refs.withColumn("_t", F.col("ref_time").cast("timestamp_ntz")).join(mixed, _GROUP, "left_semi").groupBy(*_GROUP, "_t").agg(F.count(F.lit(1)).alias("n_refs"))
+    judged = _judge(times, _versions(dims), [*_GROUP, "_t", "n_refs"], "_t", "_t").filter(F.col("reason") != "live")
+    cols = [*_GROUP, "reason", "n_refs"]
+    found = verdicts.filter(F.col("reason") != "mixed").select(cols).unionByName(judged.select(cols))
+    return found.groupBy("table_name", "field_name", "reason", "ref_month").agg(F.sum("n_refs").alias("n_refs"), F.countDistinct("ref_key").alias("n_keys"))

@@ -133,10 +133,16 @@ def schema_changes(
     come = diff.filter("change_kind = 'added'").select("file", F.col("field_name").alias("new_name"), "new_type")
     pairs = gone.join(come, "file").filter(F.col("old_type") == F.col("new_type"))
 
-    names = pairs.select(F.explode(F.array("old_name", "new_name")).alias("field_name")).distinct()
-    wanted = cells(lines.withColumnRenamed(file, "file"), line_col, ["file"]).join(names, "field_name", "left_semi")
-    by_file = materialise(_features(wanted, ["file", "field_name"]), "file-features")
-    by_name = by_file.groupBy("field_name", "kind", "bucket").agg(F.sum("n").alias("n"))
+    # Small tables are written first, so that Spark knows their size and broadcasts them where its limit allows.
+    pairs = materialise(pairs, "rename-pairs")
+    names = materialise(pairs.select(F.explode(F.array("old_name", "new_name")).alias("field_name")).distinct(), "rename-names")
+    ends = F.explode(F.array(F.struct(F.col("prev_file").alias("file"), F.col("old_name").alias("field_name")), F.struct(F.col("file").alias("file"), F.col("new_name").alias("field_name"))))
+    sides = materialise(pairs.select(ends.alias("_e")).select("_e.*").distinct().withColumn("_side", F.lit(True)), "rename-sides")
+    wanted = cells(lines.withColumnRenamed(file, "file"), line_col, ["file"]).join(names, "field_name", "left_semi").join(sides, ["file", "field_name"], "left")
+    # One pass: the files of a pair stand for themselves, all others of a name together.
+    feats = materialise(_features(wanted.withColumn("file", F.when(F.col("_side"), F.col("file"))).withColumn("_side", F.coalesce("_side", F.lit(False))), ["_side", "file", "field_name"]), "rename-features")
+    by_file = feats.filter("_side").drop("_side")
+    by_name = feats.groupBy("field_name", "kind", "bucket").agg(F.sum("n").alias("n"))
 
     keys = ["file", "prev_file", "old_name", "new_name"]
     fa = by_file.withColumnsRenamed({"file": "prev_file", "field_name": "old_name"})

@@ -102,3 +102,20 @@ def inject_missing(ranked: DataFrame, targets: DataFrame, key: str, item: str, s
     top = ranked.groupBy(key).agg((F.max(score) + lift).alias(score))
     missing = targets.select(key, item).distinct().join(ranked.select(key, item), [key, item], "left_anti").join(top, key)
     return ranked.select(key, item, score, F.lit(False).alias("injected")).unionByName(missing.select(key, item, score, F.lit(True).alias("injected")))
+
+
+def overlapping(boxes: DataFrame, regions: DataFrame, page: str, box: tuple[str, str, str, str], region: tuple[str, str, str, str], cell: float) -> DataFrame:
+    """Boxes joined with the regions of the same page they overlap, with the shared ``area``.
+
+    Both sides are laid on bands of height ``cell`` and joined by page and band, so a page is not one key;
+    a pair that shares several bands is taken in the first of them only. Boxes and regions are
+    (x0, y0, x1, y1); touching edges do not overlap; boxes with a null corner match nothing.
+    """
+    def banded(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        first, last = F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)
+        return df.filter(F.col(low) <= F.col(high)).withColumn(name, first).withColumn("_band", F.explode(F.sequence(first, last)))
+
+    j = banded(boxes, box[1], box[3], "_f1").join(banded(regions, region[1], region[3], "_f2"), [page, "_band"]).filter(F.col("_band") == F.greatest("_f1", "_f2"))
+    wide = F.least(box[2], region[2]) - F.greatest(box[0], region[0])
+    tall = F.least(box[3], region[3]) - F.greatest(box[1], region[1])
+    return j.filter((wide > 0) & (tall > 0)).withColumn("area", wide * tall).drop("_band", "_f1", "_f2")

@@ -7,12 +7,15 @@ with by their count, not by a grid of all queries and documents.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from formloom.functions import vector
 from formloom.operators.aggregate import postings
 
 #: Scores are rounded so that ranks do not hang on the order of floating-point sums.
@@ -62,15 +65,49 @@ def tfidf(index: TextIndex, qterms: DataFrame, q: str) -> DataFrame:
     return dots.join(dn, index.doc).join(qn, q).select(q, index.doc, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), DIGITS).alias("score"))
 
 
-def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_vec: str, block: int = 4096) -> DataFrame:
-    """(q, doc, score): cosine of every query of a stated set with every other vector.
+def text_vectors(docs: DataFrame, doc: str, words: Column, size: int = 64, encode=None) -> DataFrame:
+    """(doc, vec): a vector of each document by ``encode`` (lists of words to a matrix), by default counts of words
+    hashed to ``size`` slots. Null texts and texts without words get null."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches):
+        slot: dict[str, int] = {}
+
+        def counts(texts):
+            out = np.zeros((len(texts), size), np.float32)
+            for i, ws in enumerate(texts):
+                for w in ws:
+                    at = slot.get(w)
+                    if at is None:
+                        if len(slot) > 500_000:
+                            slot.clear()
+                        at = slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size
+                    out[i, at] += 1
+            return out
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            mat = (encode or counts)([t or [] for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tolist() if t else None for t, m in zip(texts, mat)], pa.list_(pa.float32()))], names=[doc, "vec"])
+
+    return docs.select(doc, words.alias("_w")).mapInArrow(run, f"`{doc}` {kind}, vec array<float>")
+
+
+def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_vec: str, k: int, block: int = 4096, others_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Cosines of every query of a stated set with every vector: the ``k`` best of each query as (q, doc, score),
+    ties by the smaller document, and (q, n, lo, hi) over all of them.
 
     The queries are sent out in blocks of at most ``block`` vectors, and the vectors stream past each
-    block as matrix products. Null vectors, vectors of another length and of norm 0 give no rows.
+    block as matrix products; a batch sends on its ``k`` best and its bounds only. With ``others_only``
+    a vector is not held against the query of its own id. Null vectors, vectors of another length and
+    of norm 0 give nothing.
     """
+    from formloom.session import materialise
+
     spark = docs.sparkSession
     types = (queries.schema[q].dataType.simpleString(), docs.schema[doc].dataType.simpleString())
     arrow = (to_arrow_type(queries.schema[q].dataType), to_arrow_type(docs.schema[doc].dataType))
+    schema = f"q {types[0]}, d {types[1]}, s double, n bigint, lo double, hi double"
     out, held = None, []
 
     def against(rows: list) -> DataFrame:
@@ -87,14 +124,27 @@ def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_v
                     continue
                 m = np.asarray([v for _, v in keep], float)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
-                scores = m @ own.T
-                d = np.repeat(np.asarray([i for i, _ in keep]), own_ids.size)
-                qs = np.tile(own_ids, len(keep))
-                other = d != qs
-                yield pa.RecordBatch.from_arrays([pa.array(qs[other]).cast(arrow[0]), pa.array(d[other]).cast(arrow[1]), pa.array(scores.ravel()[other])], names=["q", "d", "s"])
-
-        found = docs.select(doc, d_vec).mapInArrow(run, f"q {types[0]}, d {types[1]}, s double")
-        return found.select(F.col("q").alias(q), F.col("d").alias(doc), F.round("s", DIGITS).alias("score"))
+                d = np.asarray([i for i, _ in keep])
+                scores = np.round(m @ own.T, DIGITS)
+                qs, ds, ss, ns, los, his = [], [], [], [], [], []
+                for j, qid in enumerate(own_ids.tolist()):
+                    x, at = scores[:, j], d
+                    if others_only:
+                        x, at = x[d != qid], d[d != qid]
+                    if not x.size:
+                        continue
+                    least = np.partition(x, -k)[-k] if x.size > k else x.min()
+                    c = np.flatnonzero(x >= least)
+                    c = c[np.lexsort((at[c], -x[c]))[:k]]
+                    qs += [qid] * (c.size + 1)
+                    ds += at[c].tolist() + [None]
+                    ss += x[c].tolist() + [None]
+                    ns += [None] * c.size + [x.size]
+                    los += [None] * c.size + [float(x.min())]
+                    his += [None] * c.size + [float(x.max())]
+                yield pa.RecordBatch.from_arrays([pa.array(qs, arrow[0]), pa.array(ds, arrow[1]), pa.array(ss, pa.float64()), pa.array(ns, pa.int64()), pa.array(los, pa.float64()), pa.array(his, pa.float64())], names=["q", "d", "s", "n", "lo", "hi"])
+
+        return docs.select(doc, d_vec).mapInArrow(run, schema)
 
     good = queries.filter(F.col(q_vec).isNotNull() & F.exists(q_vec, lambda x: x != 0)).select(q, q_vec)
     for row in good.toLocalIterator():
@@ -103,7 +153,21 @@ def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_v
             out, held = (against(held) if out is None else out.unionByName(against(held))), []
     if held:
         out = against(held) if out is None else out.unionByName(against(held))
-    return out if out is not None else spark.createDataFrame([], f"{q} {types[0]}, {doc} {types[1]}, score double")
+    found = materialise(out if out is not None else spark.createDataFrame([], schema), "dense-scores")
+    best = found.filter("n IS NULL").select(F.col("q").alias(q), F.col("d").alias(doc), F.col("s").alias("score"))
+    bounds = found.filter("n IS NOT NULL").groupBy(F.col("q").alias(q)).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return top_k(best, q, doc, k).drop("rank"), bounds
+
+
+def hybrid(queries: DataFrame, q: str, q_vec: str, vectors: DataFrame, doc: str, d_vec: str, sparse: DataFrame, n_docs: int, alpha: float, k: int) -> DataFrame:
+    """(q, doc, score): alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over the whole corpus, of every
+    document with a sparse score and of the ``k`` best by vectors. The best ``k`` of all documents are among
+    these: one without a sparse score stands behind ``k`` that are at least as near by vectors."""
+    best, bounds = dense(queries, q, q_vec, vectors, doc, d_vec, k, others_only=False)
+    rest = sparse.select(q, doc).join(best, [q, doc], "left_anti").join(vectors.filter(F.col(d_vec).isNotNull()).select(doc, F.col(d_vec).alias("_dv")), doc).join(queries.select(q, F.col(q_vec).alias("_qv")), q)
+    scored = best.unionByName(rest.select(q, doc, F.round(vector.cosine(F.col("_qv"), F.col("_dv")), DIGITS).alias("score")).filter("score IS NOT NULL"))
+    own = sparse.groupBy(q).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return mix(scale(scored, bounds, q, n_docs), scale(sparse, own, q, n_docs), q, doc, alpha)
 
 
 def top_k(scored: DataFrame, q: str, doc: str, k: int, score: str = "score") -> DataFrame:
@@ -112,40 +176,49 @@ def top_k(scored: DataFrame, q: str, doc: str, k: int, score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def min_max(scored: DataFrame, q: str, n_docs: int | Column, score: str = "score", name: str = "norm") -> DataFrame:
-    """Scores of a query scaled to 0..1 over the whole corpus: documents without a row count as zero.
+def scale(scored: DataFrame, bounds: DataFrame, q: str, n_docs: int, score: str = "score", name: str = "norm") -> DataFrame:
+    """Scores of a query scaled to 0..1 by its ``bounds`` (q, n, lo, hi): documents without a score count as zero.
     Constant scores become 1."""
-    w = Window.partitionBy(q)
-    n = F.count(F.lit(1)).over(w)
-    total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    low = F.when(n < total, F.least(F.min(score).over(w), F.lit(0.0))).otherwise(F.min(score).over(w))
-    high = F.when(n < total, F.greatest(F.max(score).over(w), F.lit(0.0))).otherwise(F.max(score).over(w))
-    rows = scored.withColumn("_lo", low).withColumn("_hi", high)
-    return rows.withColumn(name, F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)).drop("_lo", "_hi")
+    some_zero = F.col("n") < n_docs
+    b = bounds.select(q, F.when(some_zero, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("_lo"), F.when(some_zero, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("_hi"))
+    return scored.join(b, q).withColumn(name, F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)).drop("_lo", "_hi")
+
+
+def min_max(scored: DataFrame, q: str, n_docs: int, score: str = "score", name: str = "norm") -> DataFrame:
+    """``scale`` by the bounds of ``scored`` itself."""
+    return scale(scored, scored.groupBy(q).agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi")), q, n_docs, score, name)
 
 
 def mix(dense_norm: DataFrame, sparse_norm: DataFrame, q: str, doc: str, alpha: float) -> DataFrame:
     """alpha * dense + (1 - alpha) * sparse of the normalised scores; a missing side counts as 0."""
     a = dense_norm.select(q, doc, F.col("norm").alias("_d"))
     b = sparse_norm.select(q, doc, F.col("norm").alias("_s"))
-    return a.join(b, [q, doc], "full").select(q, doc, F.round(alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_s", F.lit(0.0)), DIGITS).alias("score"))
+    return a.join(b, [q, doc], "full").select(q, doc, F.round(alpha * F.coalesce("_d", F.lit(0.0)) + (1 - alpha) * F.coalesce("_s", F.lit(0.0)), 6).alias("score"))
 
 
 def margin(ranked: DataFrame, q: str, doc: str, least: float, score: str = "score") -> DataFrame:
     """First of each query with its lead over the second, and whether the lead decides."""
-    w = Window.partitionBy(q).orderBy(F.col(score).desc(), F.col(doc))
-    rows = ranked.withColumn("_n", F.row_number().over(w)).withColumn("_s2", F.lead(score).over(w)).filter("_n = 1")
+    two = top_k(ranked.select(q, doc, score), q, doc, 2, score)
+    w = Window.partitionBy(q).orderBy("rank")  # two rows a query
+    rows = two.withColumn("_s2", F.lead(score).over(w)).filter("rank = 1").drop("rank")
     lead = F.round(F.col(score) - F.coalesce("_s2", F.lit(0.0)), DIGITS)
     return rows.select(q, doc, score, lead.alias("lead"), (F.col("_s2").isNull() | (lead >= least)).alias("decided"))
 
 
 def spill_over(ranked: DataFrame, q: str, doc: str, in_target: Column, least: int = 5, share: float = 0.1, score: str = "score") -> DataFrame:
-    """All candidates in target, and of the others the best max(least, share of all)."""
+    """All candidates in target, and of the others the best max(least, share of all), ties by the smaller document.
+
+    The cut of each query is found from the counts of its distinct scores, so only rows of the score
+    at the cut are put in order."""
     t = ranked.withColumn("in_target", in_target)
-    w = Window.partitionBy(q, "in_target").orderBy(F.col(score).desc(), F.col(doc))
-    n = F.count(F.lit(1)).over(Window.partitionBy(q))
-    keep = F.col("in_target") | (F.row_number().over(w) <= F.greatest(F.lit(least), F.floor(n * share)))
-    return t.withColumn("_k", keep).filter("_k").drop("_k")
+    others = t.filter(~F.col("in_target"))
+    counts = t.groupBy(q, score).agg(F.count(F.lit(1)).alias("_all"), F.sum((~F.col("in_target")).cast("long")).alias("_n"))
+    w = Window.partitionBy(q).orderBy(F.col(score).desc())  # rounded scores: a bounded number a query
+    room = F.greatest(F.lit(least), F.floor(F.sum("_all").over(Window.partitionBy(q)) * share))
+    cut = counts.withColumn("_left", room - (F.sum("_n").over(w) - F.col("_n"))).filter("_left > 0 AND _n > 0").select(q, score, "_n", "_left")
+    near = others.join(cut, [q, score])
+    tied = near.filter("_n > _left").withColumn("_r", F.row_number().over(Window.partitionBy(q, score).orderBy(doc))).filter("_r <= _left").select(t.columns)
+    return t.filter("in_target").unionByName(near.filter("_n <= _left").select(t.columns)).unionByName(tied)
 
 
 def boosted(scored: DataFrame, factors: list[tuple[Column, float]], score: str = "score", digits: int = 8) -> DataFrame:

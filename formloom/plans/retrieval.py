@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formloom import hooks
 from formloom.catalog import spread, table
 from formloom.functions import text as tx
 from formloom.operators import retrieve
-
+from formloom.session import materialise
 
 
 def _index(spark, root):
@@ -43,7 +44,7 @@ def ret_bm25_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ret_tfidf_topk(spark: SparkSession, root: str) -> DataFrame:
-    """MTH04, TOP03, RET15, RET16: the same by TF-IDF cosine."""
+    """MTH04, TOP03: the same by TF-IDF cosine."""
     return retrieve.top_k(retrieve.tfidf(_index(spark, root), _terms(spark, root), "query_id"), "query_id", "doc_id", 10)
 
 
@@ -63,63 +64,69 @@ def ret_dense_topk(spark: SparkSession, root: str) -> DataFrame:
     """MTH02, UDF05: ten nearest vectors of each vector of the stated set."""
     v = _vectors(spark, root)
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
-    return retrieve.top_k(retrieve.dense(q, "query_id", "q_vec", v, "vec_id", "embedding"), "query_id", "vec_id", 10)
+    return retrieve.top_k(retrieve.dense(q, "query_id", "q_vec", v, "vec_id", "embedding", 10)[0], "query_id", "vec_id", 10)
 
 
 _DENSE = """SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
  (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10"""
 
 
-def _hybrid(spark, root, alpha=0.6):
-    n = table(spark, root, "documents").count()
-    ids = table(spark, root, "documents").select("doc_id")
-    v = _vectors(spark, root)
-    q = _queries(spark, root).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q_vec"))
-    d = retrieve.dense(q, "query_id", "q_vec", v.join(ids, F.col("vec_id") == F.col("doc_id")).select("doc_id", "embedding"), "doc_id", "embedding")
-    s = retrieve.bm25(_index(spark, root), _terms(spark, root), "query_id")
-    return retrieve.mix(retrieve.min_max(d, "query_id", n), retrieve.min_max(s, "query_id", n), "query_id", "doc_id", alpha)
+def _hybrid(spark, root, k, alpha=0.6):
+    """Domain names against all documents, by BM25 and by vectors of the default encoder."""
+    docs = spread(table(spark, root, "documents").select("doc_id", "text"))
+    words = tx.tokens(F.coalesce("text", F.lit("")), 3)
+    vectors = materialise(retrieve.text_vectors(docs, "doc_id", words), "document-vectors")
+    q = materialise(retrieve.text_vectors(_queries(spark, root), "query_id", tx.tokens(F.col("domain_name"), 3)), "query-vectors")
+    sparse = materialise(retrieve.bm25(retrieve.TextIndex(docs, "doc_id", words), _terms(spark, root), "query_id"), "bm25-scores")
+    return retrieve.hybrid(q, "query_id", "vec", vectors, "doc_id", "vec", sparse, docs.count(), alpha, k)
 
 
 _HYBRID = _BM25 + """,
 nd AS (SELECT n FROM st),
-dn AS (SELECT g.domain_row AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score
-  FROM sdtm_domains g JOIN embeddings a ON a.vec_id = g.domain_row JOIN embeddings b ON b.vec_id <> g.domain_row WHERE b.vec_id IN (SELECT doc_id FROM documents)),
+dv AS (SELECT doc_id, ('0x' || substring(md5(term), 1, 4))::INT % 64 AS b, sum(tf) AS x FROM p GROUP BY ALL), qv AS (SELECT query_id, ('0x' || substring(md5(term), 1, 4))::INT % 64 AS b, sum(qtf) AS x FROM q GROUP BY ALL),
+dl2 AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM dv GROUP BY 1), ql2 AS (SELECT query_id, sqrt(sum(x * x)) AS nrm FROM qv GROUP BY 1),
+dt AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS dot FROM qv JOIN dv USING (b) GROUP BY ALL),
+dn AS (SELECT query_id, doc_id, round(coalesce(dot, 0) / (ql2.nrm * dl2.nrm), 4) AS score FROM ql2 CROSS JOIN dl2 LEFT JOIN dt USING (query_id, doc_id)),
 mm1 AS (SELECT query_id, doc_id, score, count(*) OVER w < n AS zero, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dn, nd WINDOW w AS (PARTITION BY query_id)),
 mm2 AS (SELECT query_id, doc_id, score, count(*) OVER w < n AS zero, min(score) OVER w AS lo, max(score) OVER w AS hi FROM bm, nd WINDOW w AS (PARTITION BY query_id)),
 n1 AS (SELECT query_id, doc_id, CASE WHEN zero THEN least(lo, 0) ELSE lo END AS lo, CASE WHEN zero THEN greatest(hi, 0) ELSE hi END AS hi, score FROM mm1),
 n2 AS (SELECT query_id, doc_id, CASE WHEN zero THEN least(lo, 0) ELSE lo END AS lo, CASE WHEN zero THEN greatest(hi, 0) ELSE hi END AS hi, score FROM mm2),
 s1 AS (SELECT query_id, doc_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS v FROM n1),
 s2 AS (SELECT query_id, doc_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS v FROM n2),
-hy AS (SELECT query_id, doc_id, round(0.6 * coalesce(s1.v, 0) + 0.4 * coalesce(s2.v, 0), 4) AS score FROM s1 FULL JOIN s2 USING (query_id, doc_id))"""
+hy AS (SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(s1.v, 0) + 0.4::DOUBLE * coalesce(s2.v, 0), 6) AS score FROM s1 FULL JOIN s2 USING (query_id, doc_id)),
+cand AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS dr FROM dn) WHERE dr <= 50 UNION ALL BY NAME SELECT query_id, doc_id, NULL AS dr FROM bm),
+hc AS (SELECT hy.* FROM hy JOIN (SELECT DISTINCT query_id, doc_id FROM cand) USING (query_id, doc_id))"""
 
 
 def ret_hybrid(spark: SparkSession, root: str) -> DataFrame:
-    """RET03, WIN06, RET05: vectors and BM25 normalised over the whole corpus and mixed."""
-    return retrieve.top_k(_hybrid(spark, root), "query_id", "doc_id", 20)
+    """RET01, RET02, RET03, WIN06, RET05: vectors and BM25 normalised over the whole corpus and mixed."""
+    return retrieve.top_k(_hybrid(spark, root, 20), "query_id", "doc_id", 20)
 
 
 def ret_margin_gate(spark: SparkSession, root: str) -> DataFrame:
     """FLT06, WIN07, SEL12: the lead of the first over the second, and whether it decides."""
-    return retrieve.margin(_hybrid(spark, root), "query_id", "doc_id", 0.05)
+    return retrieve.margin(_hybrid(spark, root, 2), "query_id", "doc_id", 0.05)
 
 
 def ret_rerank_cut(spark: SparkSession, root: str) -> DataFrame:
-    """RET04, RET19, RET20, TOP02, TOP05, TOP06: a pool of 40 reranked with boosts, cut to 10."""
-    pool = retrieve.top_k(_hybrid(spark, root), "query_id", "doc_id", 40).drop("rank")
-    docs = table(spark, root, "documents").select("doc_id", "lang", "source")
-    j = pool.join(docs, "doc_id")
+    """RET04, TOP02, TOP05, TOP06, UDF06: a pool of 40 scored by the default reranker, lifted by language and source,
+    cut to 10."""
+    pool = retrieve.top_k(_hybrid(spark, root, 40), "query_id", "doc_id", 40).select("query_id", "doc_id")
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
+    j = pool.join(docs, "doc_id").join(_queries(spark, root), "query_id")
+    j = j.select("query_id", "doc_id", "lang", "source", hooks.shared_words(F.col("domain_name"), F.coalesce("text", F.lit(""))).alias("score"))
     return retrieve.top_k(retrieve.boosted(j, [(F.col("lang") == "en", 1.3), (F.col("source") == "edc_export_main", 1.5)]).select("query_id", "doc_id", "score"), "query_id", "doc_id", 10)
 
 
 def ret_spill_over(spark: SparkSession, root: str) -> DataFrame:
-    """FLT07: all candidates in the target language, and of the others a bounded share."""
-    pool = retrieve.top_k(_hybrid(spark, root), "query_id", "doc_id", 100).drop("rank")
-    j = pool.join(table(spark, root, "documents").select("doc_id", "lang"), "doc_id")
+    """FLT07: of all documents that share a word with a query or are among its 50 nearest, all in the target
+    language, and of the others a bounded share."""
+    j = _hybrid(spark, root, 50).join(table(spark, root, "documents").select("doc_id", "lang"), "doc_id")
     return retrieve.spill_over(j, "query_id", "doc_id", F.coalesce(F.col("lang") == "en", F.lit(False))).select("query_id", "doc_id", "score", "in_target")
 
 
 def ret_link_score(spark: SparkSession, root: str) -> DataFrame:
-    """RET07 to RET14: variables linked to domain, codelist and relationships, scored by weighted parts and bonuses."""
+    """RET07: variables linked to domain, codelist and relationships, scored by weighted parts and bonuses."""
     v = table(spark, root, "sdtm_variables").filter("deleted_at IS NULL").select("var_name", "domain_code", "role", "codelist_code", "core").distinct()
     d = table(spark, root, "sdtm_domains").filter("deleted_at IS NULL").select("domain_code").distinct().withColumn("_d", F.lit(1.0))
     t = table(spark, root, "ct_terms").groupBy("codelist_code").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -151,7 +158,7 @@ ORACLES = {
     "ret_dense_topk": _DENSE,
     "ret_hybrid": _HYBRID + " SELECT * FROM (" + _RANK.format("hy") + ") WHERE rank <= 20",
     "ret_margin_gate": _HYBRID + ", r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS s2 FROM hy WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id)) SELECT query_id, doc_id, score, round(score - coalesce(s2, 0), 4) AS lead, s2 IS NULL OR round(score - coalesce(s2, 0), 4) >= 0.05 AS decided FROM r WHERE rn = 1",
-    "ret_rerank_cut": _HYBRID + ", pool AS (SELECT * FROM (" + _RANK.format("hy") + ") WHERE rank <= 40), b AS (SELECT query_id, pool.doc_id, round(score * CASE WHEN lang = 'en' THEN 1.3::DOUBLE ELSE 1.0 END * CASE WHEN source = 'edc_export_main' THEN 1.5::DOUBLE ELSE 1.0 END, 8) AS score FROM pool JOIN documents USING (doc_id)) SELECT * FROM (" + _RANK.format("b") + ") WHERE rank <= 10",
-    "ret_spill_over": _HYBRID + ", pool AS (SELECT * FROM (" + _RANK.format("hy") + ") WHERE rank <= 100), g AS (SELECT query_id, pool.doc_id, score, coalesce(lang = 'en', false) AS in_target FROM pool JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, in_target ORDER BY score DESC, doc_id) AS rn, count(*) OVER (PARTITION BY query_id) AS n FROM g) SELECT query_id, doc_id, score, in_target FROM r WHERE in_target OR rn <= greatest(5, floor(n * 0.1))",
+    "ret_rerank_cut": _HYBRID + ", pool AS (SELECT * FROM (" + _RANK.format("hy") + ") WHERE rank <= 40), tk AS (SELECT query_id, pool.doc_id, lang, source, list_distinct(list_filter(regexp_split_to_array(lower(g.domain_name), '[^a-z0-9]+'), lambda x: length(x) >= 1)) AS qw, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') AS dw FROM pool JOIN documents USING (doc_id) JOIN sdtm_domains g ON g.domain_row = query_id), b AS (SELECT query_id, doc_id, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw)::DOUBLE ELSE 0 END * CASE WHEN lang = 'en' THEN 1.3::DOUBLE ELSE 1.0 END * CASE WHEN source = 'edc_export_main' THEN 1.5::DOUBLE ELSE 1.0 END, 8) AS score FROM tk) SELECT * FROM (" + _RANK.format("b") + ") WHERE rank <= 10",
+    "ret_spill_over": _HYBRID + ", g AS (SELECT query_id, hc.doc_id, score, coalesce(lang = 'en', false) AS in_target FROM hc JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, in_target ORDER BY score DESC, doc_id) AS rn, count(*) OVER (PARTITION BY query_id) AS n FROM g) SELECT query_id, doc_id, score, in_target FROM r WHERE in_target OR rn <= greatest(5, floor(n * 0.1))",
     "ret_link_score": _LINK,
 }

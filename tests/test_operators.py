@@ -166,10 +166,45 @@ def test_dense_blocks(spark):
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [(99, None), (98, [0.0] * 4), (97, [1.0])]
     v = spark.createDataFrame(rows, "d int, v array<double>")
     q = v.filter("d % 5 = 0 AND d < 30").select(F.col("d").alias("q"), F.col("v").alias("qv"))
-    a = {tuple(r) for r in retrieve.dense(q, "q", "qv", v, "d", "v").collect()}
-    b = {tuple(r) for r in retrieve.dense(q, "q", "qv", v, "d", "v", block=2).collect()}
+    a, bounds = retrieve.dense(q, "q", "qv", v, "d", "v", 100)
+    a = {tuple(r) for r in a.collect()}
+    b = {tuple(r) for r in retrieve.dense(q, "q", "qv", v, "d", "v", 100, block=2)[0].collect()}
     pairs = v.filter("d < 30").crossJoin(q).filter("q <> d").select("q", "d", F.round(cosine(F.col("qv"), F.col("v")), 4))
-    assert a == b == {tuple(r) for r in pairs.collect()}
+    want = {tuple(r) for r in pairs.collect()}
+    assert a == b == want
+    for r in bounds.collect():
+        own = [s for x, _, s in want if x == r.q]
+        assert (r.n, r.lo, r.hi) == (len(own), min(own), max(own))
+    few = {tuple(r) for r in retrieve.dense(q, "q", "qv", v.repartition(5), "d", "v", 3)[0].collect()}
+    assert few == {p for x in {q for q, _, _ in want} for p in sorted((p for p in want if p[0] == x), key=lambda p: (-p[2], p[1]))[:3]}
+
+
+def test_hybrid_equals_all_pairs(spark):
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(60)], "d int, v array<double>")
+    q = spark.createDataFrame([(i, [float(rng.randint(1, 3)) for _ in range(4)]) for i in range(3)], "q int, qv array<double>")
+    sparse = spark.createDataFrame([(x, rng.randrange(60), round(rng.random(), 4)) for x in range(3) for _ in range(6)], "q int, d int, score double").dropDuplicates(["q", "d"])
+    got = retrieve.top_k(retrieve.hybrid(q, "q", "qv", v, "d", "v", sparse, 60, 0.6, 5), "q", "d", 5).select("q", "d", "score")
+    every = v.crossJoin(q).select("q", "d", F.round(cosine(F.col("qv"), F.col("v")), 4).alias("score")).filter("score IS NOT NULL")
+    want = retrieve.top_k(retrieve.mix(retrieve.min_max(every, "q", 60), retrieve.min_max(sparse, "q", 60), "q", "d", 0.6), "q", "d", 5).select("q", "d", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_overlapping_boxes(spark):
+    rng = random.Random(5)
+    box = lambda n, size: [(i, rng.randint(0, 2), *(lambda x, y: (x, y, x + rng.randint(0, size), y + rng.randint(0, size)))(rng.randint(0, 100), rng.randint(0, 300))) for i in range(n)]
+    b, r = box(60, 30), box(40, 90)
+    left = spark.createDataFrame([(i, p, *map(float, c)) for i, p, *c in b] + [(99, 1, None, 1.0, 2.0, 3.0)], "i int, page int, x0 double, y0 double, x1 double, y1 double")
+    right = spark.createDataFrame([(i, p, *map(float, c)) for i, p, *c in r], "k int, page int, a0 double, b0 double, a1 double, b1 double")
+    got = {(x.i, x.k): x.area for x in joins.overlapping(left, right, "page", ("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1"), 25.0).collect()}
+    want = {}
+    for i, p, x0, y0, x1, y1 in b:
+        for k, p2, a0, b0, a1, b1 in r:
+            wide, tall = min(x1, a1) - max(x0, a0), min(y1, b1) - max(y0, b0)
+            if p == p2 and wide > 0 and tall > 0:
+                want[i, k] = wide * tall
+    assert got == want and len(got) > 10
+    assert joins.overlapping(left.limit(0), right, "page", ("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1"), 25.0).count() == 0
 
 
 def test_top_margin_spill(spark):

@@ -16,29 +16,32 @@ _BUCKETS = 4096
 _TYPES = ["string", "number", "boolean", "array", "object"]
 
 
-def raw_type(value: Column) -> Column:
-    """JSON type of a variant: string, number, boolean, array, object; null for JSON null."""
-    s = F.schema_of_variant(value)
+def type_name(schema: Column) -> Column:
+    """JSON type by the schema text of a variant: string, number, boolean, array, object; null for JSON null."""
     return (
-        F.when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s == "VOID", F.lit(None).cast("string"))
+        F.when(schema == "STRING", "string")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema == "VOID", F.lit(None).cast("string"))
         .otherwise("number")
     )
 
 
-def cells(lines: DataFrame, line_col: str, keep: list[str], empty: bool = False) -> DataFrame:
+def cells(lines: DataFrame, line_col: str, keep: list[str], names: DataFrame | None = None) -> DataFrame:
     """keep columns plus (field_name, raw, json_type): one row for each top-level field of each
-    whole record. Lines that are no JSON object (broken off, blank, null) give none; null values
-    are kept with a null type. With ``empty``, a record without fields gives a row of a null name."""
+    whole record, of those in ``names`` (field_name) if given. Lines that are no JSON object (broken
+    off, blank, null) give none; null values are kept with a null type."""
     parsed = lines.select(*keep, F.try_parse_json(F.col(line_col)).alias("_v")).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     exploded = lines.sparkSession.sql(
-        f"SELECT {', '.join('p.`' + k + '`' for k in keep)}, e.key AS field_name, e.value AS _value FROM {{p}} p, LATERAL variant_explode{'_outer' if empty else ''}(p._v) e",
+        f"SELECT {', '.join('p.`' + k + '`' for k in keep)}, e.key AS field_name, e.value AS _value FROM {{p}} p, LATERAL variant_explode(p._v) e",
         p=parsed,
     )
-    return exploded.select(*keep, "field_name", raw_type(F.col("_value")).alias("json_type"), F.col("_value").cast("string").alias("raw"))
+    if names is not None:
+        exploded = exploded.join(names, "field_name", "left_semi")
+    # The schema is taken once; the type looks at it several times.
+    told = exploded.select(*keep, "field_name", F.schema_of_variant("_value").alias("_s"), F.col("_value").cast("string").alias("raw"))
+    return told.select(*keep, "field_name", type_name(F.col("_s")).alias("json_type"), "raw")
 
 
 def _file_fields(lines: DataFrame, source: str, file: str, time: str, line_col: str) -> DataFrame:
@@ -48,7 +51,8 @@ def _file_fields(lines: DataFrame, source: str, file: str, time: str, line_col:
     parsed = lines.select(F.col(source).alias("source"), F.col(file).alias("file"), F.col(time).alias("_time"), v.alias("_p"))
     parsed = parsed.withColumn("_v", F.when(F.schema_of_variant("_p").startswith("OBJECT"), F.col("_p"))).drop("_p")
     exploded = lines.sparkSession.sql("SELECT p.source, p.file, p._time, e.key AS field_name, e.value AS _value FROM {p} p, LATERAL variant_explode_outer(p._v) e", p=parsed)
-    c = exploded.withColumn("json_type", F.when(F.col("field_name").isNotNull(), raw_type(F.col("_value"))))
+    told = exploded.select("source", "file", "_time", "field_name", F.schema_of_variant("_value").alias("_s"))
+    c = told.withColumn("json_type", F.when(F.col("field_name").isNotNull(), type_name(F.col("_s"))))
     counts = [F.sum((F.col("json_type") == t).cast("long")) for t in _TYPES]
     typed = F.array(*[F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, (t, n) in enumerate(zip(_TYPES, counts))])
     return c.groupBy("source", "file", "field_name").agg(
@@ -138,7 +142,7 @@ def schema_changes(
     names = materialise(pairs.select(F.explode(F.array("old_name", "new_name")).alias("field_name")).distinct(), "rename-names")
     ends = F.explode(F.array(F.struct(F.col("prev_file").alias("file"), F.col("old_name").alias("field_name")), F.struct(F.col("file").alias("file"), F.col("new_name").alias("field_name"))))
     sides = materialise(pairs.select(ends.alias("_e")).select("_e.*").distinct().withColumn("_side", F.lit(True)), "rename-sides")
-    wanted = cells(lines.withColumnRenamed(file, "file"), line_col, ["file"]).join(names, "field_name", "left_semi").join(sides, ["file", "field_name"], "left")
+    wanted = cells(lines.withColumnRenamed(file, "file"), line_col, ["file"], names).join(sides, ["file", "field_name"], "left")
     # One pass: the files of a pair stand for themselves, all others of a name together.
     feats = materialise(_features(wanted.withColumn("file", F.when(F.col("_side"), F.col("file"))).withColumn("_side", F.coalesce("_side", F.lit(False))), ["_side", "file", "field_name"]), "rename-features")
     by_file = feats.filter("_side").drop("_side")
@@ -259,7 +263,6 @@ def unify(lines: DataFrame, schema: dict[str, str], names: dict[str, str] | Data
     parsed = F.try_parse_json(F.col(line_col))
     rows = rows.filter(F.schema_of_variant(parsed).startswith("OBJECT"))
     names_of = F.coalesce("_names", F.create_map().cast("map<string,string>"))
-    kind = lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "VOID", F.lit(None).cast("string")).otherwise("number")
     raw = lambda m, k: F.element_at(m, k)["raw"]
 
     # Each step is bound to a lambda's argument: as columns of their own, the optimizer would write out
@@ -268,7 +271,7 @@ def unify(lines: DataFrame, schema: dict[str, str], names: dict[str, str] | Data
         return F.transform_values(m, lambda _, v: F.struct(F.schema_of_variant(v).alias("s"), v.cast("string").alias("raw")))
 
     def hold(m: Column) -> Column:
-        return F.struct(F.transform_values(m, lambda _, x: F.struct(kind(x["s"]).alias("json_type"), F.when(x["s"] != "VOID", x["raw"]).alias("raw"))).alias("m"), names_of.alias("names"))
+        return F.struct(F.transform_values(m, lambda _, x: F.struct(type_name(x["s"]).alias("json_type"), F.when(x["s"] != "VOID", x["raw"]).alias("raw"))).alias("m"), names_of.alias("names"))
 
     def alias(b: Column) -> Column:
         named = F.transform(F.array_sort(F.map_keys(b["m"])), lambda k: F.struct(k.alias("name"), F.element_at(b["names"], k).alias("to")))

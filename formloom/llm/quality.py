@@ -212,7 +212,8 @@ def measure(text: str) -> tuple[int, list[float], list[tuple[int, int, int, int,
     m = max(1, words)
     hits = [sum(h) for h in zip(*[c.hits for _, c in parts])] or [0]
     lang, common = hits.index(max(hits)), max(hits)
-    foreign = bool(parts) and common < FEW_KNOWN * m and in_sentences(text) >= MOSTLY_SENTENCES
+    # Texts with hardly a stop have no sentences to look for.
+    foreign = bool(parts) and common < FEW_KNOWN * m and 60 * sum(map(text.count, ".!?…。！？؟।")) >= words and in_sentences(text) >= MOSTLY_SENTENCES
     if foreign:
         lang, common = OTHER, sum([len(w) <= 3 for _, c in parts for w in c.found])
     distinct: set[str] = set()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["shaping", "parsing", "joining", "aggregating", "retrieval", "mapping", "details", "running", "rules", "exchange"]
+MODULES = ["shaping", "parsing", "joining", "aggregating", "retrieval", "mapping", "details", "running", "rules", "exchange", "files"]
 
 
 def registry():

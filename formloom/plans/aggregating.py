@@ -56,7 +56,7 @@ def agg_first_attributes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def agg_inverted_index(spark: SparkSession, root: str) -> DataFrame:
-    """AGG13, RET02, STR03, STR04: terms of all documents with their document counts."""
+    """AGG13, RET02, STR03: terms of two documents or more with their document counts (``agg_word_index`` has all)."""
     words = tx.tokens(F.col("text"), 3)
     return aggregate.inverted_index(table(spark, root, "documents").filter("text IS NOT NULL"), "doc_id", words, least_df=2)
 
@@ -96,7 +96,7 @@ def lk_variable_domains(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lk_domain_variables(spark: SparkSession, root: str) -> DataFrame:
-    """KBB12, KBB13, VAL09: live variables of each domain by role."""
+    """KBB12: live variables of each domain by role."""
     v = table(spark, root, "sdtm_variables").filter("deleted_at IS NULL")
     return v.groupBy("domain_code").agg(F.countDistinct("var_name").alias("n_variables"), F.countDistinct(F.when(F.col("core") == "Req", F.col("var_name"))).alias("n_required"), F.min("var_name").alias("first_variable"))
 
@@ -131,14 +131,14 @@ def src_union_sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def src_ntz_filter_age(spark: SparkSession, root: str) -> DataFrame:
-    """DTE01, SRC13, STM04: events of the last seven days of the table."""
+    """DTE01, SRC13: events of the last seven days of the table."""
     ev = table(spark, root, "events")
     last = ev.agg(F.max("ts").alias("_last"))
     return ev.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("_last") - F.expr("INTERVAL 7 DAYS")).select("event_id", "user_id", "ts")
 
 
 def dig_document_summary(spark: SparkSession, root: str) -> DataFrame:
-    """DIG01, DIG05, SNK01, SNK02: one row per study file with its counts and whether it needs a second look."""
+    """DIG05: one row per study file with its counts and whether it needs a second look."""
     pa = table(spark, root, "page_annotations")
     s = pa.groupBy("study_id").agg(F.countDistinct("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_items"), F.count_if(F.trim("annotation") != "").alias("n_annotated"), F.count_if(F.col("annotation") == "[NOT SUBMITTED]").alias("n_not_submitted"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("n_malformed"))
     return s.withColumn("second_look", F.col("n_malformed") > 0.01 * F.col("n_items"))

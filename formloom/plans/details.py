@@ -19,7 +19,7 @@ _V = "v AS (SELECT DISTINCT domain_code, var_name, role, codelist_code FROM sdtm
 
 
 def sel_variable_rules(spark: SparkSession, root: str) -> DataFrame:
-    """SEL13, SEL14, SEL15, SEL16, SEL19, SEL21: the variable a pattern takes in each domain, by a
+    """SEL13: the variable a pattern takes in each domain, by a
     fixed order of name ends, else the first by name."""
     orders = {"conditional": ["RSLT", "TSTC", "OCCR"], "plain": ["ENDT", "BEGD", "VISN"], "supplemental": ["SPID", "SUBG", "EVLR"]}
     v = _vars(spark, root).select("domain_code", "var_name").distinct()
@@ -64,7 +64,7 @@ def flt_separate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def win_dedupe_keep_first(spark: SparkSession, root: str) -> DataFrame:
-    """WIN10, RET06, RET23: best document of each source per query in rank order; the source filter comes after the cut."""
+    """WIN10: best document of each source per query in rank order; the source filter comes after the cut."""
     top = retrieve.top_k(retrieve.bm25(_index(spark, root), _terms(spark, root), "query_id"), "query_id", "doc_id", 50)
     j = top.join(table(spark, root, "documents").select("doc_id", "source", "lang"), "doc_id")
     w = Window.partitionBy("query_id", "source").orderBy("rank")
@@ -87,7 +87,7 @@ def jn_nearest_question(spark: SparkSession, root: str) -> DataFrame:
 
 
 def val_findings(spark: SparkSession, root: str) -> DataFrame:
-    """VAL03, VAL04: errors and warnings of variable and codelist pairs: existence, role, terms."""
+    """VAL08: errors and warnings of variable and codelist pairs: existence, role, terms."""
     ct = table(spark, root, "ct_relationships").select("rel_id", F.upper(F.trim("domain_code")).alias("domain_code"), F.upper(F.trim("variable_name")).alias("var_name"), F.upper(F.trim("codelist_code")).alias("code"))
     v = table(spark, root, "sdtm_variables").groupBy("domain_code", "var_name").agg(F.min("role").alias("role"), F.max("codelist_code").alias("own"))
     c = table(spark, root, "ct_codelists").groupBy(F.col("codelist_code").alias("code")).agg(F.max("extensible").alias("ext"))
@@ -113,7 +113,7 @@ def str_term_listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def val_test_codes(spark: SparkSession, root: str) -> DataFrame:
-    """MSC07, RET17: terms of the codelists that test variables of a domain use."""
+    """MSC07: terms of the codelists that test variables of a domain use."""
     v = _vars(spark, root).filter("codelist_code IS NOT NULL AND (var_name LIKE '%TSTC' OR var_name LIKE '%TSTN')").select("domain_code", "codelist_code").distinct()
     return v.join(table(spark, root, "ct_terms"), "codelist_code").select("domain_code", "codelist_code", "submission_value")
 

@@ -171,7 +171,7 @@ def flt_membership(spark: SparkSession, root: str) -> DataFrame:
 
 
 def val_referential(spark: SparkSession, root: str) -> DataFrame:
-    """VAL08, JN22, VAL11: first failing reference of each relationship."""
+    """VAL08, JN22: first failing reference of each relationship."""
     ct = table(spark, root, "ct_relationships").select("rel_id", F.upper(F.trim("domain_code")).alias("d"), F.upper(F.trim("variable_name")).alias("v"), F.upper(F.trim("codelist_code")).alias("c"))
     dom = table(spark, root, "sdtm_domains").select(F.col("domain_code").alias("d")).distinct().withColumn("_d", F.lit(1))
     var = table(spark, root, "sdtm_variables").select(F.col("domain_code").alias("d"), F.col("var_name").alias("v")).distinct().withColumn("_v", F.lit(1))

@@ -58,7 +58,7 @@ def val_from_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sel_gate_shape(spark: SparkSession, root: str) -> DataFrame:
-    """SEL07, SEL08: shape of the value each question asks for."""
+    """SEL08: shape of the value each question asks for."""
     return _pa(spark, root).select("row_id", mapping.value_shape(F.col("text"), F.col("option_annotations")).alias("shape"))
 
 
@@ -78,7 +78,7 @@ _WORDS = "list_filter(list_transform(string_split(lower(pattern), ','), lambda x
 
 
 def sel_confidence(spark: SparkSession, root: str) -> DataFrame:
-    """SEL01 to SEL03, SEL22, FLT05: confidence from three parts and the reason to abstain."""
+    """FLT05: confidence from three parts and the reason to abstain."""
     kept = mapping.pattern_of(F.col("annotation"))
     parts = [F.when(kept == "none", 0.5).otherwise(0.9), F.coalesce("confidence", F.lit(0.0)), F.when(F.trim("domain") != "", 0.95).otherwise(0.3)]
     conf, why = mapping.settle(parts, 0.5, 0.7)
@@ -90,7 +90,7 @@ SELECT row_id, round(least(a, b, c), 6) AS confidence, CASE WHEN least(a, b, c)
 
 
 def sel_multi_variable(spark: SparkSession, root: str) -> DataFrame:
-    """SEL11, FLT12: companion variables of each result variable that exist in its domain."""
+    """SEL11: companion variables of each result variable that exist in its domain."""
     v = table(spark, root, "sdtm_variables").select("domain_code", "var_name").distinct()
     need = v.filter("var_name LIKE '%RSLT'").select("domain_code", F.col("var_name").alias("result"), F.explode(F.transform(F.array(F.lit("RSUN"), F.lit("TSTC"), F.lit("TSTN"), F.lit("LATY")), lambda s: F.concat(F.col("domain_code"), s))).alias("var_name"))
     return need.join(v, ["domain_code", "var_name"]).groupBy("domain_code", "result").agg(F.array_join(F.array_sort(F.collect_list("var_name")), " / ").alias("companions"))
@@ -103,7 +103,7 @@ def sel_option_annotations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def str_codes(spark: SparkSession, root: str) -> DataFrame:
-    """STR05, STR06, STR07, STR08: generated codes of labels."""
+    """STR05, STR07, STR08: generated codes of labels."""
     return table(spark, root, "sdtm_variables").select("variable_row", mapping.short_code(F.col("label")).alias("short"), mapping.initials_code(F.col("label")).alias("initials"), F.when(F.length("var_name") > 5, F.concat(F.substring("var_name", 1, 5), F.lit("OTH"))).otherwise(F.concat("var_name", F.lit("OTH"))).alias("other"))
 
 
@@ -128,7 +128,7 @@ def str_embedding_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def str_cache_key(spark: SparkSession, root: str) -> DataFrame:
-    """STR14, HSH01, ARR01, STM02: memo keys of fields; one representative each, joined back."""
+    """STR14, HSH01, ARR01: memo keys of fields; one representative each, joined back."""
     key = F.substring(F.sha1(F.lower(F.concat_ws("|", F.coalesce("form", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("text", F.lit(""))))), 1, 12)
     k = _pa(spark, root).select("row_id", key.alias("key"))
     memo = k.groupBy("key").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("n"))
@@ -136,7 +136,7 @@ def str_cache_key(spark: SparkSession, root: str) -> DataFrame:
 
 
 def top_additive_keyword(spark: SparkSession, root: str) -> DataFrame:
-    """TOP04, RET17, RET18: variables by an additive score of a question's words, the three best (a top-k report)."""
+    """TOP04: domains by an additive score of a question's words, the three best (a top-k report)."""
     q = _pa(spark, root).filter("text IS NOT NULL").select("row_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), 4))).alias("w"))
     v = table(spark, root, "sdtm_domains").select("domain_code", F.explode(F.array_distinct(tx.tokens(F.col("domain_name"), 4))).alias("w")).distinct()
     s = q.join(v, "w").groupBy("row_id", "domain_code").agg(F.round(F.sum(F.lit(0.3) + F.length("w") / 100.0), 6).alias("score"))
@@ -168,13 +168,13 @@ SELECT row_id, CASE WHEN n >= 1 THEN c ELSE 'Unknown' END AS class, n AS hits FR
 
 
 def ret_rule_context(spark: SparkSession, root: str) -> DataFrame:
-    """RET21, RET22, VAL12, VAL13: terms gathered by codelist as context of the variables that use it."""
+    """RET21: terms gathered by codelist as context of the variables that use it."""
     t = table(spark, root, "ct_terms").groupBy("codelist_code").agg(F.array_join(F.array_sort(F.collect_list("submission_value")), "|").alias("terms"), F.count(F.lit(1)).alias("n_terms"))
     return table(spark, root, "sdtm_variables").filter("codelist_code IS NOT NULL").select("variable_row", "codelist_code").join(t, "codelist_code", "left")
 
 
 def flt_priority_variables(spark: SparkSession, root: str) -> DataFrame:
-    """FLT08, FLT10, FLT11: variables that are no identifiers, by priority, the first 15 of a domain (a top-k report)."""
+    """FLT08: variables that are no identifiers, by priority, the first 15 of a domain (a top-k report)."""
     v = table(spark, root, "sdtm_variables").filter("role <> 'Identifier'").select("domain_code", "var_name", "role", "core").distinct()
     p = F.round(F.lit(0.5) + F.when(F.col("role") == "Topic", 0.3).otherwise(0.0) + F.when(F.col("core") == "Req", 0.2).when(F.col("core") == "Exp", 0.1).otherwise(0.0), 6)
     w = Window.partitionBy("domain_code").orderBy(F.desc("priority"), "var_name", "role", "core")
@@ -199,7 +199,7 @@ SELECT doc_id, chunk, length(body) AS n_chars, md5(body) AS digest FROM c"""
 
 
 def kbb_synonyms(spark: SparkSession, root: str) -> DataFrame:
-    """KBB06, KBB07, KBB09: distinct wordings of each term, exploded."""
+    """KBB06: distinct wordings of each term, exploded."""
     t = table(spark, root, "ct_terms")
     words = F.array_distinct(F.transform(F.array_compact(F.concat(F.array("submission_value", "preferred_term"), F.coalesce("synonyms", F.array().cast("array<string>")))), lambda x: F.lower(x)))
     return t.select("term_id", F.explode(words).alias("wording"))
@@ -233,7 +233,7 @@ _SPLIT = """SELECT row_id, study_id, CASE WHEN row_number() OVER (PARTITION BY s
 
 
 def trn_step_weights(spark: SparkSession, root: str) -> DataFrame:
-    """TRN06, AGG16: weighted mean confidence of each pattern with its dense rank."""
+    """TRN06: weighted mean confidence of each pattern with its dense rank."""
     r = _pa(spark, root).withColumn("p", corpus.canonical_pattern(F.col("pattern"))).filter("p IS NOT NULL")
     wt = F.when(F.col("p") == "conditional", 1.2).when(F.col("p") == "supplemental", 1.1).otherwise(1.0)
     g = r.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("confidence") * wt), 6).alias("weighted"))

@@ -65,7 +65,7 @@ FROM q LEFT JOIN i USING (doc_id, qid)"""
 
 
 def prj_section_context(spark: SparkSession, root: str) -> DataFrame:
-    """WIN02, WIN03, JN08, JN09: the form, the section and the next header of each question."""
+    """WIN02, WIN03, JN08: the form, the section and the next header of each question."""
     items = parse.tagged(_docs(spark, root), "doc_id", "text")
     items = parse.running(items, ["doc_id"], ["pos"], F.when(F.col("tag") == "<FORM>", F.col("text")), "form")
     items = parse.running(items, ["doc_id"], ["pos"], F.when(F.col("tag") == "<SH>", F.col("text")), "section")
@@ -193,7 +193,7 @@ _PREFIXED = r"""SELECT row_id, nullif(regexp_replace(regexp_extract(coalesce(dom
 
 
 def prj_structured_mappings(spark: SparkSession, root: str) -> DataFrame:
-    """PRJ17, PRJ18, SNK11, MSC01: mapping texts to variable, condition and value, and back."""
+    """PRJ17, PRJ18, SNK11: mapping texts to variable, condition and value, and back."""
     src = table(spark, root, "page_annotations").filter("annotation IS NOT NULL AND annotation <> ''")
     rows = src.select("row_id", F.explode(F.split("annotation", " / ")).alias("part")).withColumn("part", tx.strip(F.col("part"))).filter("part <> ''")
     head = F.split("part", " when ", 2)

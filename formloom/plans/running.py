@@ -21,7 +21,7 @@ def _items_folder(spark: SparkSession, root: str) -> str:
 
 
 def stm_page_state(spark: SparkSession, root: str) -> DataFrame:
-    """STM01, STM05: context carried by a stream with state over all tagged items."""
+    """STM01: context carried by a stream with state over all tagged items."""
     path = _items_folder(spark, root)
     stream = pages.carry_context(spark.readStream.schema(pages.ITEM_SCHEMA).parquet(path))
     return pages.run_to_end(stream, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
@@ -33,7 +33,7 @@ def stm_page_state_batch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hook_generator(spark: SparkSession, root: str) -> DataFrame:
-    """UDF01 to UDF04, SEL24: default generator over all questions."""
+    """UDF01 to UDF04: default generator over all questions."""
     return hooks.generate(table(spark, root, "page_annotations").select("row_id", "text"), "text", "answer").select("row_id", "answer")
 
 
@@ -43,7 +43,7 @@ def hook_reranker(spark: SparkSession, root: str) -> DataFrame:
 
 
 def kbb_seed_variables(spark: SparkSession, root: str) -> DataFrame:
-    """KBB01, KBB03: identifier variables of the seed domains."""
+    """KBB01: identifier variables of the seed domains."""
     return seeds.identifier_variables(spark)
 
 

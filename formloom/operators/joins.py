@@ -51,8 +51,8 @@ def best_line(items: DataFrame, lines: DataFrame, page: list[str], item: str, it
     """Each item with the line of its page that holds its text or stands in it: most shared tokens,
     then first; null where none shares a token.
 
-    Candidates are paired through shared tokens of a page, rarest token of the item first, so pages
-    of many lines do not pair every line with every item.
+    Candidates are paired through shared tokens of a page, so a page does not pair every line with every
+    item; a token that stands in all of them still does.
     """
     i = items.select(*page, item, F.col(item_text).alias("_it"), F.array_distinct(tx.tokens(F.col(item_text))).alias("_iw"))
     lines = lines.join(items.select(*page).distinct(), page, "left_semi")
@@ -89,11 +89,13 @@ def exact_then_partial(queries: DataFrame, q_id: str, q_text: str, entries: Data
     )
 
 
-def best_similar(rows: DataFrame, entries: DataFrame, block: str, left: str, right: str, score: Column, least: float) -> DataFrame:
+def best_similar(rows: DataFrame, entries: DataFrame, block: str, left: str, right: str, score: Column, least: float, bound: Column | None = None) -> DataFrame:
     """Each distinct left text with its best entry of the same block, from ``least`` on. Texts are
-    deduplicated before pairing; ties go to the smaller entry."""
+    deduplicated before pairing; ties go to the smaller entry. Pairs whose ``bound``, a cheap value
+    not under the score, is below ``least`` are not scored."""
     l = rows.select(block, left).distinct()
-    pairs = l.join(entries.select(block, right).distinct(), block).withColumn("score", score).filter(F.col("score") >= least)
+    pairs = l.join(entries.select(block, right).distinct(), block)
+    pairs = (pairs if bound is None else pairs.filter(bound >= least)).withColumn("score", score).filter(F.col("score") >= least)
     return pairs.groupBy(block, left).agg(F.min_by(F.struct(F.col(right), F.col("score")), F.struct(-F.col("score"), F.col(right))).alias("_b")).select(block, left, f"_b.{right}", "_b.score")
 
 

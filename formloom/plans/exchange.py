@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom.catalog import table
 from formloom.operators import joins, parse
+from formloom.plans.parsing import _LINES, _TAGGED
 from formloom.session import scratch_path
 from formloom.sources import sinks
 from formloom.streaming import pages
@@ -66,6 +67,9 @@ def snk_document(spark: SparkSession, root: str) -> DataFrame:
     return told.join(lines.groupBy("shelf").agg(F.count(F.lit(1)).alias("n_lines")), "shelf").join(paged, "shelf")
 
 
+_SHELVES = _TAGGED + " SELECT doc_id % 50 AS shelf, count(*) AS n_items, count(DISTINCT tag) AS n_tags, count(*) AS n_lines, count(*) AS n_paged FROM items GROUP BY 1"
+
+
 def snk_second_look(spark: SparkSession, root: str) -> DataFrame:
     """SNK02: rows of low confidence queued for a second look; a queue without rows is not written."""
     path = scratch_path(spark, "queue")
@@ -172,11 +176,14 @@ def hook_passes(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("doc_id", "pass").agg(F.count(F.lit(1)).alias("n_lines")).withColumn("instruction", prompts[F.col("pass")])
 
 
+_PASSED = _LINES + ", k AS (SELECT doc_id, unnest([" + ", ".join(f"CASE WHEN regexp_matches(line, '{r}') THEN '{n}' END" for n, _, r in PASSES) + """]) AS pass FROM lines)
+SELECT doc_id, pass, count(*) AS n_lines, CASE pass """ + " ".join(f"WHEN '{n}' THEN '{t}'" for n, t, _ in PASSES) + " END AS instruction FROM k WHERE pass IS NOT NULL GROUP BY ALL"
+
+
 def msc_error_rows(spark: SparkSession, root: str) -> DataFrame:
-    """MSC01: every delivered page gives a row: its number of annotations, or an error row saying why there is none."""
+    """MSC01: every delivered page gives a row that says whether it holds a page, or why not."""
     v = F.try_parse_json("payload")
     obj = F.schema_of_variant(v).startswith("OBJECT")
-    n = F.size(F.try_variant_get(v, "$.annotations", "array<variant>"))
     blank = F.coalesce(F.trim("payload"), F.lit("")) == ""
     return table(spark, root, "page_results").select("result_id", F.when(blank, "empty").when(v.isNull(), "broken").when(~obj, "no page").otherwise("ok").alias("status"))
 
@@ -199,6 +206,6 @@ SELECT next_month, tokyo_hour, weekday, sum(days_left)::BIGINT AS days_left, sum
 QUERIES = {f.__name__: f for f in (src_mapping, snk_dictionary, snk_package, snk_document, snk_second_look, stm_memo, stm_arrivals, jn_boxes, trn_weighted_loss, str_chat_template, hook_passes, msc_error_rows, ext_dates)}
 
 ORACLES = {
-    "src_mapping": _MAPPING, "snk_dictionary": _DICTIONARY, "snk_package": _PACKAGE, "snk_second_look": _SECOND, "stm_memo": _MEMO, "stm_arrivals": _ARRIVALS, "jn_boxes": _BOXES, "trn_weighted_loss": _LOSS,
+    "snk_document": _SHELVES, "hook_passes": _PASSED, "src_mapping": _MAPPING, "snk_dictionary": _DICTIONARY, "snk_package": _PACKAGE, "snk_second_look": _SECOND, "stm_memo": _MEMO, "stm_arrivals": _ARRIVALS, "jn_boxes": _BOXES, "trn_weighted_loss": _LOSS,
     "str_chat_template": _CHAT, "msc_error_rows": _ERRORS, "ext_dates": _DATES,
 }

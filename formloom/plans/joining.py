@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom.catalog import spread, table
 from formloom.functions import text as tx
-from formloom.functions.fuzzy import sequence_ratio
+from formloom.functions.fuzzy import ratio_bound, sequence_ratio
 from formloom.operators import joins, parse
 
 
@@ -89,7 +89,17 @@ def jn_fuzzy_ratio(spark: SparkSession, root: str) -> DataFrame:
     """FZY01, JN12: the same by the sequence-matcher ratio (no SQL equivalent)."""
     t = table(spark, root, "typed_entries").filter("trim(annotation) <> ''").select("domain_code", F.upper(F.trim("annotation")).alias("typed"))
     v = table(spark, root, "sdtm_variables").select("domain_code", "var_name")
-    return joins.best_similar(t, v, "domain_code", "typed", "var_name", F.round(sequence_ratio("typed", "var_name"), 6), 0.6)
+    return joins.best_similar(t, v, "domain_code", "typed", "var_name", F.round(sequence_ratio("typed", "var_name"), 6), 0.6, ratio_bound(F.col("typed"), F.col("var_name")))
+
+
+#: Pairs of texts with the ratio worked out by hand: twice the matching characters over all characters.
+KNOWN_RATIOS = [("abcd", "bcde", 0.75), ("", "", 1.0), ("abc", "xyz", 0.0), ("AETERM", "AETRT", 0.727273), ("same text", "same text", 1.0), ("ab", "", 0.0), ("tide", "diet", 0.25), ("diet", "tide", 0.5)]
+
+
+def fzy_known_ratios(spark: SparkSession, root: str) -> DataFrame:
+    """FZY01: the sequence-matcher ratio of pairs with known ratios, and its bound."""
+    df = spark.createDataFrame([(a, b) for a, b, _ in KNOWN_RATIOS], "a string, b string")
+    return df.select("a", "b", F.round(sequence_ratio("a", "b"), 6).alias("ratio"), (ratio_bound(F.col("a"), F.col("b")) >= F.round(sequence_ratio("a", "b"), 6)).alias("bounded"))
 
 
 def jn_alias_ngrams(spark: SparkSession, root: str) -> DataFrame:
@@ -202,13 +212,14 @@ h AS (SELECT t.domain_code, typed, var_name, row_number() OVER (PARTITION BY t.d
 SELECT domain_code, typed, string_agg(var_name, ',' ORDER BY var_name) AS suggestions FROM h WHERE rn <= 5 GROUP BY ALL"""
 
 QUERIES = {f.__name__: f for f in (
-    jn_asof_backward, jn_range_section, jn_neighbours, jn_contains_argmax, jn_equi_chain, jn_exact_then_partial, jn_fuzzy_levenshtein, jn_fuzzy_ratio, jn_alias_ngrams, jn_inject_missing,
+    jn_asof_backward, jn_range_section, jn_neighbours, jn_contains_argmax, jn_equi_chain, jn_exact_then_partial, jn_fuzzy_levenshtein, jn_fuzzy_ratio, fzy_known_ratios, jn_alias_ngrams, jn_inject_missing,
     jn_class_lookup, jn_option_match, jn_page_files, flt_required_members, flt_membership, val_referential, fzy_did_you_mean,
 )}
 
 from formloom.plans.parsing import _TAGGED  # noqa: E402
 
 ORACLES = {
+    "fzy_known_ratios": "SELECT a, b, CAST(r AS DOUBLE) AS ratio, true AS bounded FROM (VALUES " + ", ".join(str(x) for x in KNOWN_RATIOS) + ") t(a, b, r)",
     "jn_asof_backward": _ASOF,
     "jn_range_section": "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS section FROM events",
     "jn_neighbours": _TAGGED + " SELECT doc_id, pos, above, below FROM (SELECT doc_id, pos, tag, last_value(CASE WHEN tag = '<Q>' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, first_value(CASE WHEN tag = '<Q>' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below FROM items) WHERE tag = '<SH>'",

@@ -240,12 +240,12 @@ def forest(texts: list[bytes], opaque_keys: frozenset[str] = frozenset()) -> For
             key[i] = got
         text = np.empty(k, object)
         held = np.flatnonzero(nodes.kind >= STR)
-        whole = np.flatnonzero((nodes.kind < STR) & np.fromiter((k in opaque_keys for k in key), bool, k)) if opaque_keys else held[:0]
-        for i in np.concatenate([held, whole]):
+        for i in np.flatnonzero((nodes.kind < STR) & (ks >= 0)):
+            if key[i] in opaque_keys:
+                text[i] = data[nodes.start[i] : nodes.end[i]].decode("utf-8", "replace")
+        for i in held:
             piece = data[nodes.start[i] : nodes.end[i]]
-            if nodes.kind[i] < STR:
-                text[i] = piece.decode("utf-8", "replace")
-            elif nodes.kind[i] == STR:
+            if nodes.kind[i] == STR:
                 text[i] = nodes.raw(nodes.start[i], nodes.end[i]) if b"\\" in piece else piece.decode("utf-8", "replace")
             else:
                 text[i] = None if piece == b"null" else piece.decode()

@@ -89,7 +89,7 @@ def jn_fuzzy_ratio(spark: SparkSession, root: str) -> DataFrame:
     """FZY01, JN12: the same by the sequence-matcher ratio (no SQL equivalent)."""
     t = table(spark, root, "typed_entries").filter("trim(annotation) <> ''").select("domain_code", F.upper(F.trim("annotation")).alias("typed"))
     v = table(spark, root, "sdtm_variables").select("domain_code", "var_name")
-    return joins.best_similar(t, v, "domain_code", "typed", "var_name", F.round(sequence_ratio("typed", "var_name"), 6), 0.6, ratio_bound(F.col("typed"), F.col("var_name")))
+    return joins.best_similar(t, v, "domain_code", "typed", "var_name", F.round(sequence_ratio("typed", "var_name"), 6), 0.6, F.round(ratio_bound(F.col("typed"), F.col("var_name")), 6))
 
 
 #: Pairs of texts with the ratio worked out by hand: twice the matching characters over all characters.
@@ -99,7 +99,7 @@ KNOWN_RATIOS = [("abcd", "bcde", 0.75), ("", "", 1.0), ("abc", "xyz", 0.0), ("AE
 def fzy_known_ratios(spark: SparkSession, root: str) -> DataFrame:
     """FZY01: the sequence-matcher ratio of pairs with known ratios, and its bound."""
     df = spark.createDataFrame([(a, b) for a, b, _ in KNOWN_RATIOS], "a string, b string")
-    return df.select("a", "b", F.round(sequence_ratio("a", "b"), 6).alias("ratio"), (ratio_bound(F.col("a"), F.col("b")) >= F.round(sequence_ratio("a", "b"), 6)).alias("bounded"))
+    return df.select("a", "b", F.round(sequence_ratio("a", "b"), 6).alias("ratio"), (F.round(ratio_bound(F.col("a"), F.col("b")), 6) >= F.round(sequence_ratio("a", "b"), 6)).alias("bounded"))
 
 
 def jn_alias_ngrams(spark: SparkSession, root: str) -> DataFrame:

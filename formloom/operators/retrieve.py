@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from formloom.functions import vector
 from formloom.operators.aggregate import postings
 
 #: Scores are rounded so that ranks do not hang on the order of floating-point sums.
@@ -76,13 +75,16 @@ def text_vectors(docs: DataFrame, doc: str, words: Column, size: int = 64, encod
         def counts(texts):
             out = np.zeros((len(texts), size), np.float32)
             for i, ws in enumerate(texts):
+                at = []
                 for w in ws:
-                    at = slot.get(w)
-                    if at is None:
+                    n = slot.get(w)
+                    if n is None:
                         if len(slot) > 500_000:
                             slot.clear()
-                        at = slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size
-                    out[i, at] += 1
+                        n = slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size
+                    at.append(n)
+                if at:
+                    out[i] = np.bincount(at, minlength=size)
             return out
 
         for batch in batches:
@@ -159,13 +161,49 @@ def dense(queries: DataFrame, q: str, q_vec: str, docs: DataFrame, doc: str, d_v
     return top_k(best, q, doc, k).drop("rank"), bounds
 
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, q: str, q_vec: str, vectors: DataFrame, doc: str, d_vec: str, block: int = 4096) -> DataFrame:
+    """(q, doc, score): cosines of stated pairs (q, doc). The queries of a document, at most the stated ones, are
+    gathered and joined with its vector; queries go out in blocks. Null vectors and those of norm 0 give nothing."""
+    spark = pairs.sparkSession
+    types = (queries.schema[q].dataType.simpleString(), vectors.schema[doc].dataType.simpleString())
+    arrow = (to_arrow_type(queries.schema[q].dataType), to_arrow_type(vectors.schema[doc].dataType))
+    of_doc = pairs.groupBy(doc).agg(F.collect_list(q).alias("_qs")).join(vectors.filter(F.col(d_vec).isNotNull()).select(doc, F.col(d_vec).alias("_v")), doc).select(doc, "_qs", "_v")
+    out, held = None, []
+
+    def against(rows: list) -> DataFrame:
+        mat = np.asarray([r[1] for r in rows], float)
+        sent = spark.sparkContext.broadcast(({r[0]: i for i, r in enumerate(rows)}, mat / np.linalg.norm(mat, axis=1, keepdims=True)))
+
+        def run(batches):
+            at, own = sent.value
+            for batch in batches:
+                m = np.asarray(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(m, axis=1)
+                lists = batch.column(1).to_pylist()
+                flat = [(i, x, at[x]) for i, qs in enumerate(lists) for x in qs if x in at and norm[i] > 0]
+                i, j = np.asarray([f[0] for f in flat], np.int64), np.asarray([f[2] for f in flat], np.int64)
+                scores = np.round(np.einsum("ij,ij->i", m[i] / norm[i][:, None], own[j]), DIGITS) if flat else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in flat], arrow[0]), batch.column(0).take(pa.array(i)).cast(arrow[1]), pa.array(scores)], names=[q, doc, "score"])
+
+        return of_doc.mapInArrow(run, f"`{q}` {types[0]}, `{doc}` {types[1]}, score double")
+
+    good = queries.filter(F.col(q_vec).isNotNull() & F.exists(q_vec, lambda x: x != 0)).select(q, q_vec)
+    for row in good.toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == block:
+            out, held = (against(held) if out is None else out.unionByName(against(held))), []
+    if held:
+        out = against(held) if out is None else out.unionByName(against(held))
+    return out if out is not None else spark.createDataFrame([], f"`{q}` {types[0]}, `{doc}` {types[1]}, score double")
+
+
 def hybrid(queries: DataFrame, q: str, q_vec: str, vectors: DataFrame, doc: str, d_vec: str, sparse: DataFrame, n_docs: int, alpha: float, k: int) -> DataFrame:
     """(q, doc, score): alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over the whole corpus, of every
     document with a sparse score and of the ``k`` best by vectors. The best ``k`` of all documents are among
     these: one without a sparse score stands behind ``k`` that are at least as near by vectors."""
     best, bounds = dense(queries, q, q_vec, vectors, doc, d_vec, k, others_only=False)
-    rest = sparse.select(q, doc).join(best, [q, doc], "left_anti").join(vectors.filter(F.col(d_vec).isNotNull()).select(doc, F.col(d_vec).alias("_dv")), doc).join(queries.select(q, F.col(q_vec).alias("_qv")), q)
-    scored = best.unionByName(rest.select(q, doc, F.round(vector.cosine(F.col("_qv"), F.col("_dv")), DIGITS).alias("score")).filter("score IS NOT NULL"))
+    rest = sparse.select(q, doc).join(best, [q, doc], "left_anti")
+    scored = best.unionByName(pair_scores(rest, queries, q, q_vec, vectors, doc, d_vec))
     own = sparse.groupBy(q).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
     return mix(scale(scored, bounds, q, n_docs), scale(sparse, own, q, n_docs), q, doc, alpha)
 

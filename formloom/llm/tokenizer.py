@@ -112,6 +112,8 @@ class Encoder:
             else:
                 bound = y + 1
                 y = hy[0]
+        if len(self._beside) > 2_000_000:
+            self._beside.clear()
         self._beside[key] = answer
         return answer
 

@@ -56,10 +56,17 @@ def is_pointer(text: str) -> bool:
     return text.startswith("version https://git-lfs")
 
 
-def first_readable(paths: list[str]) -> str | None:
-    """SRC07, MSC06. The first path that exists and holds content; None leads to the seed tables."""
+def first_readable(paths: list[str], spark: SparkSession | None = None) -> str | None:
+    """SRC07, MSC06. The first path that exists and holds content; None leads to the seed tables. With a session
+    the paths are those of its file systems, such as a cluster's shared folder; without, of this machine."""
     for p in paths:
-        if os.path.exists(p):
+        if spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                first = spark.read.text(p).head(1)
+                if first and not is_pointer(first[0].value):
+                    return p
+        elif os.path.exists(p):
             with open(p, encoding="utf-8", errors="replace") as f:
                 if not is_pointer(f.read(64)):
                     return p

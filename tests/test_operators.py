@@ -269,6 +269,7 @@ def test_page_sources(spark, tmp_path):
     assert {(r.domain, r.name) for f in ("v1", "v2") for r in src.read_variables(spark, str(tmp_path / f"{f}.json")).collect()} == {("AE", "AETERM"), ("CM", "CMTRT")}
     (tmp_path / "p.json").write_text("version https://git-lfs.github.com/spec/v1\n")
     assert src.first_readable([str(tmp_path / "none"), str(tmp_path / "p.json"), str(tmp_path / "v1.json")]) == str(tmp_path / "v1.json")
+    assert src.first_readable([str(tmp_path / "none"), str(tmp_path / "p.json"), str(tmp_path / "v1.json")], spark) == str(tmp_path / "v1.json")
 
 
 def test_cached_source(tmp_path):
